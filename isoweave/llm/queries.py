@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from isoweave.llm.line_dedup import dedup_lines
+from isoweave.llm.token_records import token_records
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -53,3 +54,9 @@ from m group by doc_id
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+@query("op3_token_records")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = token_records(spark, table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return read.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from isoweave.llm.line_dedup import dedup_lines
 from isoweave.llm.packing import pack
+from isoweave.llm.secrets import count_of, find_secrets, spans_text
 from isoweave.llm.token_records import token_records
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -66,3 +67,15 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_pattern_packing")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query("op5_credential_linking")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.col("base")
+    return found.select(
+        "doc_id",
+        *[count_of(base, k).alias(f"n_{k}") for k in ("assign", "access", "hex")],
+        F.sha2(spans_text(base), 256).alias("base_sha256"),
+        spans_text(F.concat("base", "linked")).alias("spans"),
+    )

@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from isoweave.llm.common import crc_mod
 from isoweave.llm.line_dedup import dedup_lines
 from isoweave.llm.packing import pack
+from isoweave.llm.quality import classify_quality
 from isoweave.llm.secrets import count_of, find_secrets, spans_text
 from isoweave.llm.token_records import token_records
 
@@ -79,3 +81,10 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(spans_text(base), 256).alias("base_sha256"),
         spans_text(F.concat("base", "linked")).alias("spans"),
     )
+
+
+@query("op1_neighbour_quality")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
+    scored = classify_quality(docs, labels, keep=crc_mod("id", 4) != 2)
+    return scored.select("doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out"), "score", "predicted")

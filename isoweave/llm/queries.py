@@ -13,6 +13,7 @@ from isoweave.llm.packing import pack
 from isoweave.llm.quality import classify_quality
 from isoweave.llm.secrets import count_of, find_secrets, spans_text
 from isoweave.llm.token_records import token_records
+from isoweave.llm.toxicity import fit_toxicity, score_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -88,3 +89,10 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
     scored = classify_quality(docs, labels, keep=crc_mod("id", 4) != 2)
     return scored.select("doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out"), "score", "predicted")
+
+
+@query("op9_ordinal_toxicity")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
+    scored = score_toxicity(docs, fit_toxicity(docs, labels))
+    return scored.select("doc_id", "severity", "p_toxic", "grade", "rejected")

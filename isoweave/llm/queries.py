@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from isoweave.llm.common import crc_mod
 from isoweave.llm.line_dedup import dedup_lines
+from isoweave.llm.near_vectors import near_vectors
 from isoweave.llm.packing import pack
 from isoweave.llm.quality import classify_quality
 from isoweave.llm.secrets import count_of, find_secrets, spans_text
@@ -96,3 +97,29 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
     scored = score_toxicity(docs, fit_toxicity(docs, labels))
     return scored.select("doc_id", "severity", "p_toxic", "grade", "rejected")
+
+
+OP8_SQL = """
+with recursive v as (
+  select vec_id, label, embedding::double[] as e from embeddings
+  where label is not null and embedding is not null and len(embedding) > 0
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+    and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+u as (select vec_id, label, e, sqrt(list_inner_product(e, e)) as norm from v),
+p as (
+  select a.vec_id as a, b.vec_id as b from u a join u b
+    on a.label = b.label and len(a.e) = len(b.e) and a.vec_id <> b.vec_id
+  where list_inner_product(a.e, b.e) / (a.norm * b.norm) >= 0.93),
+reach(a, b) as (
+  select vec_id, vec_id from embeddings
+  union select r.a, p.b from reach r join p on r.b = p.a),
+c as (select a, min(b) as component_id from reach group by a),
+n as (select a, count(*) as n_links from p group by a)
+select e.vec_id, coalesce(n.n_links, 0)::bigint as n_links, c.component_id, e.vec_id = c.component_id as kept
+from embeddings e join c on e.vec_id = c.a left join n on e.vec_id = n.a
+"""
+
+
+@query("op8_cross_polytope", OP8_SQL)
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))

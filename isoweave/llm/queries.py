@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from isoweave.llm.common import crc_mod
+from isoweave.llm.decontaminate import find_contamination
 from isoweave.llm.line_dedup import dedup_lines
 from isoweave.llm.near_vectors import near_vectors
 from isoweave.llm.packing import pack
@@ -123,3 +124,9 @@ from embeddings e join c on e.vec_id = c.a left join n on e.vec_id = n.a
 @query("op8_cross_polytope", OP8_SQL)
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
+
+
+@query("op2_simhash_decontamination")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark")
+    return find_contamination(docs, items)

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from isoweave.llm.class_lm import score_texts
 from isoweave.llm.common import crc_mod
 from isoweave.llm.decontaminate import find_contamination
 from isoweave.llm.line_dedup import dedup_lines
@@ -130,3 +131,9 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, items = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark")
     return find_contamination(docs, items)
+
+
+@query("op4_class_bigrams")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return score_texts(docs, held_out="crc32(coalesce(cast(doc_id as string), '')) % 5 = 1")

@@ -188,26 +188,31 @@ class _Shared:
         return self.broadcast.value
 
 
+def item_blocks(benchmark: DataFrame, item_col: str, item_text_col: str, block_words: int = BLOCK_WORDS) -> Iterator[_Shared]:
+    """The items, as broadcasts of about ``block_words`` words each; a block is collected when its turn comes."""
+    need(benchmark, item_col, item_text_col)
+    words = F.filter(F.split(F.lower(F.col(item_text_col).cast("string")), r"\s+"), lambda w: w != "")
+    items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.array_join(words, " ").alias("text"), F.size(words).cast("long").alias("n"))
+    items = items.filter("item is not null and n > 0")
+    total = items.agg(F.sum("n")).first()[0] or 0
+    n_blocks = -(-total // block_words)
+    for b in range(n_blocks):
+        by_words: dict[tuple[str, ...], int] = {}
+        for r in items.filter(F.pmod(F.xxhash64("text"), F.lit(n_blocks)) == b).collect():
+            key = tuple(words_of(r.text))
+            if key:
+                by_words[key] = min(by_words.get(key, r.item), r.item)
+        if by_words:
+            yield _Shared(benchmark.sparkSession.sparkContext.broadcast(sorted((i, list(w)) for w, i in by_words.items())))
+
+
 def find_contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
     """(id_col, item_col, similarity, start): per document and item its best window, if similar enough."""
     need(docs, id_col, text_col)
-    need(benchmark, item_col, item_text_col)
-    spark = docs.sparkSession
-    items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.lower(F.col(item_text_col).cast("string")).alias("text")).filter("text is not null")
-    total = items.agg(F.sum(F.size(F.split("text", r"\s+")).cast("long"))).first()[0] or 0
-    n_blocks = max(1, -(-total // block_words))
     schema = f"`{id_col}` long, `{item_col}` long, similarity double, start long"
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     out = None
-    for b in range(n_blocks):
-        by_words: dict[tuple[str, ...], int] = {}
-        for r in items.filter(F.pmod(F.xxhash64("text"), F.lit(n_blocks)) == b).collect():  # about block_words words
-            key = tuple(words_of(r.text))
-            if key and r.item is not None:
-                by_words[key] = min(by_words.get(key, r.item), r.item)
-        if not by_words:
-            continue
-        shared = _Shared(spark.sparkContext.broadcast(sorted((i, list(w)) for w, i in by_words.items())))
+    for shared in item_blocks(benchmark, item_col, item_text_col, block_words):
 
         def scan(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             block = _block(shared)
@@ -219,11 +224,18 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "
 
         found = src.mapInArrow(scan, schema)
         out = found if out is None else out.unionByName(found)
-    return spark.createDataFrame([], schema) if out is None else out
+    return docs.sparkSession.createDataFrame([], schema) if out is None else out
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The documents that match no item, with all their columns; ids tell documents apart."""
-    id_col = options.get("id_col", "doc_id")
-    bad = find_contamination(docs, benchmark, **options).select(F.col(id_col).alias("__bad")).distinct()
-    return docs.join(bad, F.col(id_col).cast("long").eqNullSafe(F.col("__bad")), "left_anti")
+def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
+    """The rows whose text matches no item, with all their columns; nothing is shuffled."""
+    need(docs, text_col)
+    for shared in item_blocks(benchmark, item_col, item_text_col, block_words):
+
+        @F.pandas_udf("boolean")
+        def clean(text, shared=shared):
+            block = _block(shared)
+            return text.map(lambda t: not block.matches(t))
+
+        docs = docs.filter(clean(F.col(text_col).cast("string")))
+    return docs

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from isoweave.llm.class_lm import score_texts
 from isoweave.llm.common import crc_mod
 from isoweave.llm.decontaminate import find_contamination
+from isoweave.llm.jaccard_join import jaccard_components
 from isoweave.llm.line_dedup import dedup_lines
 from isoweave.llm.near_vectors import near_vectors
 from isoweave.llm.packing import pack
@@ -137,3 +138,34 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return score_texts(docs, held_out="crc32(coalesce(cast(doc_id as string), '')) % 5 = 1")
+
+
+OP6_SQL = """
+with recursive w as (
+  select doc_id, list_filter(string_split_regex(
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as ws
+  from documents),
+s as (
+  select doc_id, case when len(ws) = 0 then []
+    when len(ws) < 3 then [array_to_string(ws, ' ')]
+    else list_distinct(list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]))
+    end as sh
+  from w),
+u as (select doc_id, len(sh) as n, unnest(sh) as k from s),
+p as (
+  select a.doc_id as a, b.doc_id as b
+  from u a join u b on a.k = b.k and a.doc_id <> b.doc_id
+  group by a.doc_id, b.doc_id, a.n, b.n
+  having 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+reach(a, b) as (
+  select doc_id, doc_id from documents
+  union select r.a, p.b from reach r join p on r.b = p.a),
+c as (select a, min(b) as component_id from reach group by a)
+select s.doc_id, len(s.sh) as n_shingles, c.component_id from s join c on s.doc_id = c.a
+"""
+
+
+@query("op6_token_combinations", OP6_SQL)
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents").select("doc_id", "text"), width=3, percent=90)

@@ -135,7 +135,7 @@ def repeated_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
 def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10, batches: int = 4, fanout: int = 3, counts: bool = True) -> DataFrame:
     """``docs`` with the repeated lines gone from its text, in the same columns.
 
-    ``counts`` adds n_lines (before) and n_dropped; they must not be columns yet.
+    ``counts`` adds n_lines (before) and n_dropped, in place of columns so named.
     """
     need(docs, id_col, text_col)
     lost = repeated_lines(docs, id_col=id_col, text_col=text_col, min_chars=min_chars, batches=batches, fanout=fanout)
@@ -159,6 +159,6 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
         return pd.DataFrame({"text": kept_texts, "n_lines": n_lines, "n_dropped": n_dropped})
 
     done = joined.withColumn("__cut", cut(F.col(text_col).cast("binary"), F.col("__keys")))
-    cols = [F.col("__cut.text").alias(text_col) if c == text_col else F.col(c) for c in docs.columns]
+    cols = [F.col("__cut.text").alias(text_col) if c == text_col else F.col(c) for c in docs.columns if not (counts and c in ("n_lines", "n_dropped"))]
     extra = [F.col("__cut.n_lines").alias("n_lines"), F.col("__cut.n_dropped").alias("n_dropped")] if counts else []
     return done.select(*cols, *extra)

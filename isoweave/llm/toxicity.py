@@ -173,7 +173,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", pe
 
 
 def score_toxicity(docs: DataFrame, model: OrdinalModel, *, text_col: str = "text") -> DataFrame:
-    """``docs`` with severity (0 to 3), p_toxic, grade (the likeliest) and rejected."""
+    """``docs`` with severity (0 to 3), p_toxic, grade (the likeliest) and rejected, in place of columns so named."""
     need(docs, text_col)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -185,4 +185,5 @@ def score_toxicity(docs: DataFrame, model: OrdinalModel, *, text_col: str = "tex
         return pd.DataFrame({"severity": p @ np.arange(GRADES), "p_toxic": 1 - p[:, 0], "grade": p.argmax(1).astype("int32")})
 
     scored = docs.withColumn("__score", score(F.col(text_col).cast("string")))
-    return scored.select(*docs.columns, "__score.severity", "__score.p_toxic", "__score.grade", (F.col("__score.p_toxic") > 0.5).alias("rejected"))
+    kept = [c for c in docs.columns if c not in ("severity", "p_toxic", "grade", "rejected")]
+    return scored.select(*kept, "__score.severity", "__score.p_toxic", "__score.grade", (F.col("__score.p_toxic") > 0.5).alias("rejected"))

@@ -15,8 +15,9 @@ of fixed size; a false positive there only moves a token in the order.
    combinations of two tokens that are the least of their kind pair each class
    with the first class of the same combination, and verified pairs are joined.
 2. The index is built, keys of one class or one component are dropped (their
-   links could not change a component), and keys over ``LONG_LIST`` become
-   frequent and the index is built anew.
+   links could not change a component), and where a key would give over
+   ``LONG_LIST`` pairs its token becomes frequent and the index is built anew,
+   ``ROUNDS`` times at most; what is long even then is compared in full.
 3. Pairs of different components under a key whose sizes fit are candidates.
 
 A candidate's sets differ in at least as many tokens as their ``SIGNATURE``-bit
@@ -43,7 +44,8 @@ from isoweave.llm.components import components
 from isoweave.llm.shingle_sets import mix, shingle_set
 
 SIGNATURE, BITMAP_BITS = 512, 24
-FREQUENT, LONG_LIST, ROUNDS = 16, 500, 3
+#: Components that make a token frequent; pairs of a key that make its token so too; times to try.
+FREQUENT, LONG_LIST, ROUNDS = 16, 100_000, 3
 #: Sets up to this size are kept whole in the index's source, larger ones to SLACK prefixes.
 WHOLE, SLACK = 64, 1.4
 
@@ -169,41 +171,61 @@ class _Verifier:
         return out
 
 
-def _index(reps: DataFrame, sets: DataFrame, frequent: np.ndarray, percent: int) -> DataFrame:
-    """(key, node, sure): rare tokens alone and frequent ones by twos, of each extended prefix.
+def _lacks(low: np.ndarray, n: int, often: np.ndarray, percent: int) -> bool:
+    """Whether the low tokens have too few rare ones to fill the prefix, and aren't the whole set."""
+    return len(low) < n and int((~often).sum()) < prefix_length(n, percent)
 
-    ``sets`` has the whole sets of nodes whose low tokens don't suffice.  Keys
-    that aren't ``sure`` were counted over the leaders' hash-ordered prefixes.
+
+def _leader_keys(reps: DataFrame, joined: np.ndarray, percent: int) -> DataFrame:
+    """(key) of the hash-ordered prefixes of all nodes but those that ``joined``, a bitmap, holds."""
+    shared = reps.sparkSession.sparkContext.broadcast(joined)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            batch = batch.filter(pa.array(~_has(shared.value, batch.column("node").to_numpy())))
+            low = batch.column("low")
+            keys = [low[k].values.to_numpy()[: prefix_length(n, percent)] for k, n in enumerate(batch.column("n").to_pylist())]
+            if keys:
+                yield pa.RecordBatch.from_pydict({"key": pa.array(np.concatenate(keys))})
+
+    return reps.select("node", "n", "low").mapInArrow(run, "key long")
+
+
+def _index(reps: DataFrame, joined: np.ndarray, frequent: np.ndarray, percent: int, whole: bool = False) -> DataFrame:
+    """(key, node, n, sure): rare tokens alone and frequent ones by twos, of each extended prefix.
+
+    Nodes whose low tokens don't suffice are left out, unless these are ``whole``
+    sets.  Keys that aren't ``sure`` are among those that _leader_keys gives.
     """
-    shared = reps.sparkSession.sparkContext.broadcast(frequent)
+    sc = reps.sparkSession.sparkContext
+    shared, members = sc.broadcast(frequent), sc.broadcast(joined)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, nodes, sure = [], [], []
+            keys, nodes, sizes, sure = [], [], [], []
             low, n = batch.column("low"), batch.column("n").to_pylist()
-            for k, (node, leads) in enumerate(zip(batch.column("node").to_pylist(), batch.column("leads").to_pylist(), strict=True)):
+            member = _has(members.value, batch.column("node").to_numpy()) if batch.num_rows else []
+            for k, node in enumerate(batch.column("node").to_pylist()):
                 s = low[k].values.to_numpy().view(np.uint64)
-                p = prefix_length(n[k], percent)
-                often = _has(shared.value, s.view(np.int64))
+                p, often = prefix_length(n[k], percent), _has(shared.value, s.view(np.int64))
+                if not whole and _lacks(s, n[k], often, percent):
+                    continue
                 rare = s[~often][:p]
                 few = s[often][: p - len(rare)]
                 i, j = np.triu_indices(len(few), 1)
                 twos = mix(few[i] * np.uint64(0x9E3779B97F4A7C15) + few[j]) if len(few) > 1 else few[:0]
-                later = rare > s[p - 1] if leads else np.ones(len(rare), bool)
                 keys += [rare.view(np.int64), twos.view(np.int64)]
                 nodes.append(np.full(len(rare) + len(twos), node, np.int64))
-                sure += [later, np.ones(len(twos), bool)]
+                sizes.append(np.full(len(rare) + len(twos), n[k], np.int64))
+                sure += [np.ones(len(rare), bool) if whole or member[k] else rare > s[p - 1], np.ones(len(twos), bool)]
             if keys:
-                yield pa.RecordBatch.from_pydict({"key": pa.array(np.concatenate(keys)), "node": pa.array(np.concatenate(nodes)), "sure": pa.array(np.concatenate(sure))})
+                yield pa.RecordBatch.from_pydict({"key": pa.array(np.concatenate(keys)), "node": pa.array(np.concatenate(nodes)), "n": pa.array(np.concatenate(sizes)), "sure": pa.array(np.concatenate(sure))})
 
-    whole = reps.drop("low").join(sets.withColumnRenamed("tokens", "low"), "node")
-    cols = ["node", "n", "low", "leads"]
-    enough = reps.join(sets.select("node"), "node", "left_anti")
-    return enough.select(*cols).unionByName(whole.select(*cols)).mapInArrow(run, "key long, node long, sure boolean")
+    return reps.select("node", "n", "low").mapInArrow(run, "key long, node long, n long, sure boolean")
 
 
 def _lacking(reps: DataFrame, frequent: np.ndarray, percent: int) -> DataFrame:
-    """(node, id) whose low tokens have too few rare ones to fill the prefix, and aren't the whole set."""
+    """(node, id) that the index leaves out."""
     shared = reps.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,7 +233,7 @@ def _lacking(reps: DataFrame, frequent: np.ndarray, percent: int) -> DataFrame:
             low, bad = batch.column("low"), []
             for k, n in enumerate(batch.column("n").to_pylist()):
                 s = low[k].values.to_numpy()
-                bad.append(len(s) < n and int((~_has(shared.value, s)).sum()) < prefix_length(n, percent))
+                bad.append(_lacks(s, n, _has(shared.value, s), percent))
             yield batch.select(["node", "id"]).filter(pa.array(bad, pa.bool_()))
 
     return reps.filter(F.size("low") < F.col("n")).select("node", "id", "n", "low").mapInArrow(run, "node long, id long")
@@ -225,8 +247,8 @@ def jaccard_components(docs: DataFrame, *, width: int = 5, percent: int = 80, id
     source = _source(docs, id_col, text_col)
     rows = work.save(_scan(source, width, percent), "rows")
     slim = work.save(rows.select("id", "node", "n"), "slim")
-    first = rows.filter("node is not null").groupBy("node").agg(F.min("id").alias("id"))
-    reps = rows.join(first, ["node", "id"], "left_semi").dropDuplicates(["node"])
+    first = rows.filter("node is not null").groupBy("node").agg(F.min("id").alias("least"))
+    reps = rows.join(first, "node").filter("id = least").dropDuplicates(["node"])
     reps = work.save(reps.select("node", "id", "n", "sig", "combos", "low"), "reps")
     work.drop("rows")
     verifier = _Verifier(source, reps, width, percent, work)
@@ -241,28 +263,28 @@ def jaccard_components(docs: DataFrame, *, width: int = 5, percent: int = 80, id
     links = verifier.links(near).unionByName(tied)
     groups = work.save(components(links, work, "first"), "groups")
 
-    reps = work.save(reps.drop("combos").join(groups.withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node")).withColumn("leads", F.col("component") == F.col("node")), "led")
-    work.drop("reps")
-    verifier.reps = reps
-    size = F.least(F.col("n"), F.col("n") - F.floor((percent * F.col("n") + 99) / 100) + 2).cast("int")
-    leaders = reps.filter("leads").select(F.explode(F.slice("low", F.lit(1), size)).alias("key"))
-    counted = work.save(leaders.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1"), "counted")
+    # one class of each group leads; the bitmap may hold a few leaders too, whose keys are then all kept
+    joined = _bitmap(groups.filter("id <> component").select(F.col("id").alias("v")))
+    counted = work.save(_leader_keys(reps, joined, percent).groupBy("key").agg(F.count("*").alias("m")).filter("m > 1"), "counted")
     frequent = _bitmap(counted.filter(F.col("m") > FREQUENT).select(F.col("key").alias("v")))
+    named = groups.withColumnRenamed("id", "node")
     for k in range(ROUNDS):
         lacking = work.save(_lacking(reps, frequent, percent), f"lacking-{k}")
         sets = _full_sets(source, lacking, width, work, f"whole-{k}").dropDuplicates(["node"])
-        index = _index(reps, sets, frequent, percent)
+        sets = sets.select("node", F.size("tokens").cast("long").alias("n"), F.col("tokens").alias("low"))
+        index = _index(reps, joined, frequent, percent).unionByName(_index(sets, joined, frequent, percent, whole=True))
         keys = counted.select("key").unionByName(index.filter("sure").select("key")).distinct()
-        shared = index.select("key", "node").join(keys, "key", "left_semi").distinct()
-        shared = shared.join(reps.select("node", "n", "component"), "node")
-        many = shared.groupBy("key").agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.count("*").alias("m"))
-        lists = work.save(shared.join(many.filter("c1 <> c2").select("key", "m"), "key"), f"lists-{k}")
-        long_lists = lists.filter(F.col("m") > LONG_LIST).select(F.col("key").alias("v")).distinct()
+        shared = index.select("key", "node", "n").join(keys, "key", "left_semi")
+        shared = work.save(shared.join(named, "node", "left").withColumn("component", F.coalesce("component", "node")), f"shared-{k}")
+        each = shared.groupBy("key", "component").agg(F.count("*").cast("double").alias("c")).groupBy("key")
+        many = each.agg(F.count("*").alias("groups"), ((F.pow(F.sum("c"), 2) - F.sum(F.col("c") * F.col("c"))) / 2).alias("pairs"))
+        lists = work.save(shared.join(many.filter("groups > 1"), "key"), f"lists-{k}")
+        long_lists = lists.filter(F.col("pairs") > LONG_LIST).select(F.col("key").alias("v")).distinct()
         more = frequent | _bitmap(long_lists)
         if k == ROUNDS - 1 or (more == frequent).all():
             break
         frequent = more
-        work.drop(f"lists-{k}", f"whole-{k}", f"lacking-{k}")
+        work.drop(f"lists-{k}", f"shared-{k}", f"whole-{k}", f"lacking-{k}")
     x = lists.select("key", F.col("node").alias("a"), F.col("n").alias("n1"), F.col("component").alias("c1"))
     y = lists.select("key", F.col("node").alias("b"), F.col("n").alias("n2"), F.col("component").alias("c2"))
     candidates = x.join(y, "key").filter("a < b and c1 <> c2").filter(_fits(percent)).select("a", "b").distinct()

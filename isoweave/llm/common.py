@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OWN_DIRS: dict[str, str] = {}
+#: Spark's setting that removes a query's shuffle files when the query ends.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -43,11 +45,22 @@ class Workspace:
         return f"{self.root}/{name}"
 
     def save(self, df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
-        """Write ``df`` as Parquet and read it back; what follows no longer depends on executors."""
+        """Write ``df`` as Parquet and read it back; what follows no longer depends on executors.
+
+        The table is whole then, so the shuffle files of its making go at once.
+        """
         writer = df.write.option("compression", "zstd")
         if partition_by:
             writer = writer.partitionBy(*partition_by)
-        writer.parquet(self.path(name))
+        before = self.spark.conf.get(_CLEANUP, None)
+        self.spark.conf.set(_CLEANUP, "true")
+        try:
+            writer.parquet(self.path(name))
+        finally:
+            if before is None:
+                self.spark.conf.unset(_CLEANUP)
+            else:
+                self.spark.conf.set(_CLEANUP, before)
         return self.read(name, df)
 
     def read(self, name: str, like: DataFrame) -> DataFrame:

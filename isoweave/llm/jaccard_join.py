@@ -14,10 +14,13 @@ of fixed size; a false positive there only moves a token in the order.
 1. Groups of near copies are joined first, so that they don't flood the index:
    combinations of two tokens that are the least of their kind pair each class
    with the first class of the same combination, and verified pairs are joined.
-2. The index is built, keys of one class or one component are dropped (their
-   links could not change a component), and where a key would give over
-   ``LONG_LIST`` pairs its token becomes frequent and the index is built anew,
-   ``ROUNDS`` times at most; what is long even then is compared in full.
+2. Tokens that would give over ``LONG_LIST`` pairs of components are counted
+   first and become frequent, which brings other tokens into the prefixes, so
+   this is repeated until none is found, ``ROUNDS`` times at most.  The index is
+   built, keys of one class or one component are dropped (their links could not
+   change a component), and where a key still gives over ``LONG_LIST`` pairs its
+   token becomes frequent and the index is built anew, ``ROUNDS`` times at most;
+   what is long even then is compared in full.
 3. Pairs of different components under a key whose sizes fit are candidates.
 
 A candidate's sets differ in at least as many tokens as their ``SIGNATURE``-bit
@@ -176,15 +179,22 @@ def _lacks(low: np.ndarray, n: int, often: np.ndarray, percent: int) -> bool:
     return len(low) < n and int((~often).sum()) < prefix_length(n, percent)
 
 
-def _leader_keys(reps: DataFrame, joined: np.ndarray, percent: int) -> DataFrame:
-    """(key) of the hash-ordered prefixes of all nodes but those that ``joined``, a bitmap, holds."""
-    shared = reps.sparkSession.sparkContext.broadcast(joined)
+def _leader_keys(reps: DataFrame, joined: np.ndarray, percent: int, frequent: np.ndarray | None = None) -> DataFrame:
+    """(key) of the prefixes of all nodes but those that ``joined``, a bitmap, holds.
+
+    Prefixes are hash-ordered; with ``frequent`` they hold the rare tokens that come first then.
+    """
+    sc = reps.sparkSession.sparkContext
+    shared, often = sc.broadcast(joined), sc.broadcast(frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             batch = batch.filter(pa.array(~_has(shared.value, batch.column("node").to_numpy())))
-            low = batch.column("low")
-            keys = [low[k].values.to_numpy()[: prefix_length(n, percent)] for k, n in enumerate(batch.column("n").to_pylist())]
+            low, keys = batch.column("low"), []
+            for k, n in enumerate(batch.column("n").to_pylist()):
+                s = low[k].values.to_numpy()
+                s = s if often.value is None else s[~_has(often.value, s)]
+                keys.append(s[: prefix_length(n, percent)])
             if keys:
                 yield pa.RecordBatch.from_pydict({"key": pa.array(np.concatenate(keys))})
 
@@ -267,24 +277,33 @@ def jaccard_components(docs: DataFrame, *, width: int = 5, percent: int = 80, id
     joined = _bitmap(groups.filter("id <> component").select(F.col("id").alias("v")))
     counted = work.save(_leader_keys(reps, joined, percent).groupBy("key").agg(F.count("*").alias("m")).filter("m > 1"), "counted")
     frequent = _bitmap(counted.filter(F.col("m") > FREQUENT).select(F.col("key").alias("v")))
+    for _ in range(ROUNDS):
+        m = _leader_keys(reps, joined, percent, frequent).groupBy("key").agg(F.count("*").alias("m"))
+        more = frequent | _bitmap(m.filter(F.col("m") * (F.col("m") - 1) > 2 * LONG_LIST).select(F.col("key").alias("v")))
+        if (more == frequent).all():
+            break
+        frequent = more
     named = groups.withColumnRenamed("id", "node")
     for k in range(ROUNDS):
         lacking = work.save(_lacking(reps, frequent, percent), f"lacking-{k}")
         sets = _full_sets(source, lacking, width, work, f"whole-{k}").dropDuplicates(["node"])
         sets = sets.select("node", F.size("tokens").cast("long").alias("n"), F.col("tokens").alias("low"))
-        index = _index(reps, joined, frequent, percent).unionByName(_index(sets, joined, frequent, percent, whole=True))
+        index = work.save(_index(reps, joined, frequent, percent).unionByName(_index(sets, joined, frequent, percent, whole=True)), f"index-{k}")
         keys = counted.select("key").unionByName(index.filter("sure").select("key")).distinct()
         shared = index.select("key", "node", "n").join(keys, "key", "left_semi")
         shared = work.save(shared.join(named, "node", "left").withColumn("component", F.coalesce("component", "node")), f"shared-{k}")
+        work.drop(f"index-{k}", f"whole-{k}", f"lacking-{k}")
         each = shared.groupBy("key", "component").agg(F.count("*").cast("double").alias("c")).groupBy("key")
         many = each.agg(F.count("*").alias("groups"), ((F.pow(F.sum("c"), 2) - F.sum(F.col("c") * F.col("c"))) / 2).alias("pairs"))
         lists = work.save(shared.join(many.filter("groups > 1"), "key"), f"lists-{k}")
+        work.drop(f"shared-{k}")
         long_lists = lists.filter(F.col("pairs") > LONG_LIST).select(F.col("key").alias("v")).distinct()
         more = frequent | _bitmap(long_lists)
         if k == ROUNDS - 1 or (more == frequent).all():
             break
         frequent = more
-        work.drop(f"lists-{k}", f"shared-{k}", f"whole-{k}", f"lacking-{k}")
+        work.drop(f"lists-{k}")
+    work.drop("counted")
     x = lists.select("key", F.col("node").alias("a"), F.col("n").alias("n1"), F.col("component").alias("c1"))
     y = lists.select("key", F.col("node").alias("b"), F.col("n").alias("n2"), F.col("component").alias("c2"))
     candidates = x.join(y, "key").filter("a < b and c1 <> c2").filter(_fits(percent)).select("a", "b").distinct()

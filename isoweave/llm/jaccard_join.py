@@ -25,7 +25,8 @@ of fixed size; a false positive there only moves a token in the order.
 
 A candidate's sets differ in at least as many tokens as their ``SIGNATURE``-bit
 parity signatures differ in bits; pairs that cannot reach the threshold are
-dropped, all others are verified on the whole sets, read again from the texts.
+dropped, by 128 folded bits where they meet and by all bits later, and all others
+are verified on the whole sets, read again from the texts.
 
 Defined cases: null or empty texts have no shingles and link with nothing; rows
 with a null id are left alone; rows with one id are texts of one document, and
@@ -62,6 +63,12 @@ def _signature(s: np.ndarray) -> bytes:
     return np.packbits(np.bincount((s >> np.uint64(20)).astype(np.int64) & (SIGNATURE - 1), minlength=SIGNATURE) & 1).tobytes()
 
 
+def _folded(sig: bytes) -> tuple[int, int]:
+    """The signature in 128 bits: parities of unions of its kinds, so no pair differs in more bits than before."""
+    w = np.frombuffer(sig, "<i8")
+    return int(np.bitwise_xor.reduce(w[::2])), int(np.bitwise_xor.reduce(w[1::2]))
+
+
 def _least_pairs(s: np.ndarray, pairs: int = 4) -> np.ndarray:
     """Hashes of two tokens each, the least of their residue."""
     kind = (s & np.uint64(2 * pairs - 1)).astype(np.int64)
@@ -80,11 +87,11 @@ def _source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _scan(source: DataFrame, width: int, percent: int) -> DataFrame:
-    """Per row: id, node (null without shingles), n, sig, combos, low (its least tokens)."""
+    """Per row: id, node (null without shingles), n, sig, s1 and s2 (sig folded), combos, low (its least tokens)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cols: dict[str, list] = {c: [] for c in ("node", "n", "sig", "combos", "low")}
+            cols: dict[str, list] = {c: [] for c in ("node", "n", "sig", "s1", "s2", "combos", "low")}
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 s = shingle_set(text or b"", width)
                 n = len(s)
@@ -92,14 +99,18 @@ def _scan(source: DataFrame, width: int, percent: int) -> DataFrame:
                 fine = n and i is not None
                 cols["n"].append(n)
                 cols["node"].append(_name(s) if fine else None)
-                cols["sig"].append(_signature(s) if fine else None)
+                sig = _signature(s) if fine else None
+                s1, s2 = _folded(sig) if fine else (None, None)
+                cols["sig"].append(sig)
+                cols["s1"].append(s1)
+                cols["s2"].append(s2)
                 cols["combos"].append(_least_pairs(s).view(np.int64) if fine else None)
                 cols["low"].append(s[:keep].view(np.int64) if fine else None)
             longs = pa.list_(pa.int64())
-            kinds = {"node": pa.int64(), "n": pa.int64(), "sig": pa.binary(), "combos": longs, "low": longs}
+            kinds = {"node": pa.int64(), "n": pa.int64(), "sig": pa.binary(), "s1": pa.int64(), "s2": pa.int64(), "combos": longs, "low": longs}
             yield pa.RecordBatch.from_pydict({"id": batch.column(0)} | {c: pa.array(v, kinds[c]) for c, v in cols.items()})
 
-    return source.mapInArrow(run, "id long, node long, n long, sig binary, combos array<long>, low array<long>")
+    return source.mapInArrow(run, "id long, node long, n long, sig binary, s1 long, s2 long, combos array<long>, low array<long>")
 
 
 def _bitmap(values: DataFrame, bits: int = BITMAP_BITS) -> np.ndarray:
@@ -259,7 +270,7 @@ def jaccard_components(docs: DataFrame, *, width: int = 5, percent: int = 80, id
     slim = work.save(rows.select("id", "node", "n"), "slim")
     first = rows.filter("node is not null").groupBy("node").agg(F.min("id").alias("least"))
     reps = rows.join(first, "node").filter("id = least").dropDuplicates(["node"])
-    reps = work.save(reps.select("node", "id", "n", "sig", "combos", "low"), "reps")
+    reps = work.save(reps.select("node", "id", "n", "sig", "s1", "s2", "combos", "low"), "reps")
     work.drop("rows")
     verifier = _Verifier(source, reps, width, percent, work)
 
@@ -304,9 +315,13 @@ def jaccard_components(docs: DataFrame, *, width: int = 5, percent: int = 80, id
         frequent = more
         work.drop(f"lists-{k}")
     work.drop("counted")
-    x = lists.select("key", F.col("node").alias("a"), F.col("n").alias("n1"), F.col("component").alias("c1"))
-    y = lists.select("key", F.col("node").alias("b"), F.col("n").alias("n2"), F.col("component").alias("c2"))
-    candidates = x.join(y, "key").filter("a < b and c1 <> c2").filter(_fits(percent)).select("a", "b").distinct()
+    signed = work.save(lists.select("key", "node", "n", "component").join(reps.select("node", "s1", "s2"), "node"), "signed")
+    work.drop(f"lists-{k}")
+    x = signed.toDF("a", "key", "n1", "c1", "s1", "s2")
+    y = signed.toDF("b", "key", "n2", "c2", "t1", "t2")
+    differ = F.bit_count(F.col("s1").bitwiseXOR(F.col("t1"))) + F.bit_count(F.col("s2").bitwiseXOR(F.col("t2")))
+    near = differ * (100 + percent) <= (F.col("n1") + F.col("n2")) * (100 - percent)
+    candidates = x.join(y, "key").filter("a < b and c1 <> c2").filter(_fits(percent)).filter(near).select("a", "b").distinct()
     found = verifier.links(candidates)
 
     edges = groups.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(found)

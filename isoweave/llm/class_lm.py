@@ -5,20 +5,27 @@ case, and one end per text, which also stands before the first token.
 
 Training, over all texts of the training part:
 1. Counts of all words, by a partial count in each task and one shuffle.
-2. The units of clustering: the ``FREQUENT`` most frequent words each for
-   itself, every other word by the shape of its spelling (``SHAPES`` hashed
-   shapes), so every word, seen or not, belongs to exactly one unit.
-3. Counts of unit bigrams, at most (FREQUENT + SHAPES) squared numbers.
-4. Exchange: units start dealt out over ``CLASSES`` classes by frequency; each
+2. The start: the ``FREQUENT`` most frequent words are units each for itself,
+   every other word goes by the shape of its spelling (``SHAPES`` hashed shapes).
+   Counts of unit bigrams, at most (FREQUENT + SHAPES) squared numbers.
+3. Exchange: units start dealt out over ``CLASSES`` classes by frequency; each
    in turn moves to the class where the likelihood of the class bigrams is
-   greatest, until a sweep moves none.
-Then P(w | v) = P(class w | class v) * P(w | class w).  Transitions are smoothed
-towards the classes' own shares, emissions as (c + 0.5) / (N + 0.5 (V + 1)) with
-the class's tokens N and distinct words V.
-
-Scoring: the most frequent words (``LOCAL_WORDS`` at most, a broadcast of proven
-size) are scored where the text is read.  The rest of a text's words, counted
-per text, meet the count table in a join on the word, and their sums return to
+   greatest, until a sweep moves none.  That settles the frequent words.
+4. Passes over all texts, ``PASSES`` at most: every other word of the count
+   table is counted with the classes before and behind it (one shuffle on the
+   word) and moves to the class where the likelihood of the class bigrams is
+   greatest, its own tokens left out of its old class.  All move at once, so a
+   later pass that doesn't raise the likelihood is undone and ends them.  Words
+   move among the classes in use; a class left empty by step 3 stays empty.  Only
+   words that training never saw keep the class of their spelling.
+Then P(w | v) = P(class w | class v) * P(w | class w).  Transitions are counted
+over the final classes of all tokens and smoothed towards the classes' own
+shares, emissions as (c + 0.5) / (N + 0.5 (V + 1)) with the class's tokens N and
+distinct words V.
+
+Texts are encoded once: the most frequent words (``LOCAL_WORDS`` at most, a
+broadcast of proven size) as numbers.  The rest of a text's words stand beside
+it and meet their classes and counts in a join on the word, which returns to
 the text.  No count is capped or sampled.
 
 Defined cases: null text is empty, and an empty text is one end; a null id
@@ -28,25 +35,28 @@ scored each; extra columns are ignored; without training texts N and V are 0.
 
 from __future__ import annotations
 
+import copy
 import functools
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from isoweave.llm.common import Workspace, need
 
-FREQUENT, SHAPES, CLASSES, SWEEPS = 1000, 256, 64, 10
+FREQUENT, SHAPES, CLASSES, SWEEPS, PASSES = 1000, 256, 64, 10, 2
 LOCAL_WORDS, LOCAL_WORD_BYTES = 200_000, 64
 SMOOTH = 20.0
 END = b""
 _FLUSH = 300_000
+_ROWS_A_BATCH, _PIECE = 2000, 1_000_000
 _KIND = re.compile(rb"[a-z]+")
 
 
@@ -107,23 +117,21 @@ def exchange(bigrams: np.ndarray, classes: int, sweeps: int = SWEEPS) -> np.ndar
     return cls
 
 
-class ClassModel:
-    """Class transitions and totals, and the words that are scored locally."""
+class Labels:
+    """The class of every word as far as a task knows it: local words by number, others by spelling until they are joined."""
 
-    def __init__(self, frequent: list[bytes], cls: np.ndarray, bigrams: np.ndarray, n_tokens: int, n_words: int, class_tokens: np.ndarray, class_words: np.ndarray):
-        self.units = {w: k for k, w in enumerate(frequent)}
-        self.cls, k = cls, int(cls.max(initial=0)) + 1
-        onehot = np.eye(k)[cls]
-        n = onehot.T @ bigrams @ onehot
-        share = (n.sum(0) + 1) / (n.sum() + k)
-        self.transition = np.log10((n + SMOOTH * share) / (n.sum(1, keepdims=True) + SMOOTH))
-        self.n_tokens, self.n_words = n_tokens, n_words
-        self.base_total = n_tokens + 0.5 * (n_words + 1)
-        self.class_total = class_tokens + 0.5 * (class_words + 1)
+    def __init__(self, local: list[tuple[bytes, int]], frequent: int, cls: np.ndarray, classes: int):
+        self.words = [w for w, _ in local]
+        self.n_frequent, self.classes = min(frequent, len(local)), classes
+        self.of_unit = cls
+        spelled = [cls[self.n_frequent + shape_of(w)] for w in self.words[self.n_frequent :]]
+        self.of_local = np.concatenate((cls[: self.n_frequent], np.array(spelled, np.int64)))
 
-    def class_of(self, word: bytes) -> int:
-        k = self.units.get(word)
-        return int(self.cls[len(self.units) + shape_of(word) if k is None else k])
+    def moved(self, found: dict[bytes, int]) -> Labels:
+        out = copy.copy(self)
+        out.of_local = np.array([found.get(w, c) for w, c in zip(self.words, self.of_local.tolist(), strict=True)], np.int64)
+        out.of_local[: self.n_frequent] = self.of_unit[: self.n_frequent]
+        return out
 
 
 def _partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,133 +169,276 @@ def frequent_words(counts: DataFrame, most: int, most_bytes: int) -> list[tuple[
     return sorted(zip(rows.column("word").to_pylist(), rows.column("n").to_pylist(), strict=True), key=lambda x: (-x[1], x[0]))
 
 
-def _unit_bigrams(texts: DataFrame, frequent: list[bytes], shapes: int) -> np.ndarray:
-    n = len(frequent) + shapes
+_RARE = pa.struct([("k", pa.int32()), ("word", pa.binary()), ("unit", pa.int32()), ("cls", pa.int32()), ("n", pa.int64())])
+_ROWS = "task int, nth long, id long, held_out boolean, ids array<int>, rare array<struct<k:int,word:binary,unit:int,cls:int,n:long>>"
+
+
+def _encode(docs: DataFrame, local: list[tuple[bytes, int]], frequent: int, id_col: str, text_col: str, held_out: str) -> DataFrame:
+    """Texts as numbers: a local word by its place, any other by -1 - k with k its place in the row's ``rare``."""
+    shared, cache = docs.sparkSession.sparkContext.broadcast([w for w, _ in local]), {}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        units, counts = {w: k for k, w in enumerate(frequent)}, np.zeros(n * n, np.int64)
+        if not cache:
+            cache.update({w: k for k, w in enumerate(shared.value)})
+        task, nth = TaskContext.get().partitionId(), 0
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                words = tokens_of(text)
-                u = np.array([units.get(w, -1) for w in (END, *words)], np.int64)
-                for k in np.flatnonzero(u < 0).tolist():
-                    u[k] = len(frequent) + shape_of(words[k - 1])
-                pairs, times = np.unique(u[:-1] * n + u[1:], return_counts=True)
-                counts[pairs] += times
+            texts = batch.column("text")
+            for first in range(0, len(texts), _ROWS_A_BATCH):
+                part = batch.slice(first, _ROWS_A_BATCH)
+                ids, rare = [], []
+                for text in part.column("text").to_pylist():
+                    words = tokens_of(text)
+                    row = list(map(cache.get, words))
+                    others: dict[bytes, int] = {}
+                    if None in row:
+                        row = [-1 - others.setdefault(w, len(others)) if k is None else k for k, w in zip(row, words, strict=True)]
+                    ids.append(np.array(row, np.int32))
+                    rare.append([{"k": k, "word": w, "unit": frequent + shape_of(w), "cls": -1, "n": 0} for w, k in others.items()])
+                n = part.num_rows
+                yield pa.RecordBatch.from_pydict({
+                    "task": pa.array([task] * n, pa.int32()), "nth": pa.array(range(nth, nth + n), pa.int64()), "id": part.column("id"), "held_out": part.column("held_out"),
+                    "ids": pa.array(ids, pa.list_(pa.int32())), "rare": pa.array(rare, pa.list_(_RARE)),
+                })
+                nth += n
+
+    src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"), F.expr(held_out).alias("held_out"))
+    return src.mapInArrow(run, _ROWS)
+
+
+class _Flat:
+    """The tokens of some encoded rows, end to end; in each row the end stands before the first word too."""
+
+    def __init__(self, batch: pa.RecordBatch, n_local: int):
+        ids, rare = batch.column("ids"), batch.column("rare")
+        size = ids.value_lengths().to_numpy(zero_copy_only=False)
+        self.starts = np.cumsum(size) - size
+        self.ends, self.size = self.starts + size - 1, size
+        self.rare = rare.flatten()
+        many = rare.value_lengths().to_numpy(zero_copy_only=False)
+        at = ids.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+        self.at = np.where(at < 0, n_local - 1 - at + np.repeat(np.cumsum(many) - many, size), at)  # past n_local: a place in rare
+
+    def field(self, name: str) -> np.ndarray:
+        return self.rare.field(name).to_numpy(zero_copy_only=False)
+
+    def classes(self, labels: Labels) -> np.ndarray:
+        cls = self.field("cls").astype(np.int64)
+        return np.concatenate((labels.of_local, np.where(cls < 0, labels.of_unit[self.field("unit")], cls)))
+
+    def before(self, x: np.ndarray) -> np.ndarray:
+        out = np.roll(x, 1)
+        out[self.starts] = x[self.ends]
+        return out
+
+    def after(self, x: np.ndarray) -> np.ndarray:
+        out = np.roll(x, -1)
+        out[self.ends] = x[self.starts]
+        return out
+
+
+def _pieces(batches: Iterator[pa.RecordBatch], n_local: int) -> Iterator[_Flat]:
+    """Encoded rows, about ``_PIECE`` tokens at a time (a row stays whole)."""
+    for batch in batches:
+        size = np.cumsum(batch.column("ids").value_lengths().to_numpy(zero_copy_only=False)) if batch.num_rows else np.zeros(0)
+        first = 0
+        while first < batch.num_rows:
+            done = size[first - 1] if first else 0
+            last = max(first + 1, int(np.searchsorted(size, done + _PIECE, "right")))
+            yield _Flat(batch.slice(first, last - first), n_local)
+            first = last
+
+
+def _square(rows: DataFrame, n_local: int, numbers: Callable[[_Flat], np.ndarray], n: int) -> np.ndarray:
+    """How often a token of one number follows one of another, n * n counts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(n * n, np.int64)
+        for flat in _pieces(batches, n_local):
+            x = numbers(flat)[flat.at]
+            pairs, times = np.unique(flat.before(x) * n + x, return_counts=True)
+            counts[pairs] += times
         at = np.flatnonzero(counts)
         yield pa.RecordBatch.from_pydict({"pair": pa.array(at), "n": pa.array(counts[at])})
 
-    rows = texts.mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()  # n * n rows at most
+    got = rows.select("ids", "rare").mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()  # n * n rows at most
     out = np.zeros(n * n)
-    out[rows.column("pair").to_numpy()] = rows.column("n").to_numpy()
+    out[got.column("pair").to_numpy()] = got.column("n").to_numpy()
     return out.reshape(n, n)
 
 
-def fit(texts: DataFrame, work: Workspace, *, classes: int = CLASSES, frequent: int = FREQUENT) -> tuple[ClassModel, DataFrame, list[tuple[bytes, int]]]:
-    """The model, the table of all word counts, and the words to score locally; ``texts`` is one binary column."""
-    counts = work.save(word_counts(texts), "counts")
-    totals = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
-    local = frequent_words(counts, LOCAL_WORDS, LOCAL_WORD_BYTES)
-    top = [w for w, _ in local[:frequent]]
-    bigrams = _unit_bigrams(texts, top, SHAPES)
-    cls = exchange(bigrams, classes)
-    draft = ClassModel(top, cls, bigrams, 0, 0, np.zeros(classes), np.zeros(classes))
-    shared = texts.sparkSession.sparkContext.broadcast(draft)
+def likelihood(n: np.ndarray) -> float:
+    """The part of the log likelihood that depends on the classes: of their bigrams, against their totals on both sides."""
+    f = lambda x: float((x * np.log(np.maximum(x, 1.0))).sum())
+    return f(n) - f(n.sum(0)) - f(n.sum(1))
 
-    def by_class(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, words = np.zeros(classes, np.int64), np.zeros(classes, np.int64)
-        for batch in batches:
-            k = np.array([shared.value.class_of(w) for w in batch.column(0).to_pylist()], np.int64)
-            words += np.bincount(k, minlength=classes)
-            np.add.at(tokens, k, batch.column(1).to_numpy())
-        yield pa.RecordBatch.from_pydict({"c": pa.array(range(classes), pa.int32()), "tokens": pa.array(tokens), "words": pa.array(words)})
-
-    tokens, words = np.zeros(classes), np.zeros(classes)
-    for r in counts.mapInArrow(by_class, "c int, tokens long, words long").groupBy("c").agg(F.sum("tokens").alias("t"), F.sum("words").alias("w")).collect():
-        tokens[r.c], words[r.c] = r.t, r.w
-    return ClassModel(top, cls, bigrams, totals.n or 0, totals.v or 0, tokens, words), counts, local
 
+def _contexts(rows: DataFrame, labels: Labels) -> DataFrame:
+    """(word, cls, seen) for every word but the frequent ones: its class and how often each class stands before and behind it.
 
-def _local_pass(docs: DataFrame, model: ClassModel, local: list[tuple[bytes, int]], id_col: str, text_col: str, keep_cols: str) -> DataFrame:
-    """Per row what is known where it is read, and the words that aren't: (word, times, class)."""
-    sc = docs.sparkSession.sparkContext
-    shared, words = sc.broadcast(model), sc.broadcast(local)
-    cache: dict = {}
+    ``seen`` packs a place (the class before, or ``classes`` + the class behind) above 40 bits of count.
+    """
+    shared, cache = rows.sparkSession.sparkContext.broadcast(labels), {}
 
-    def tables():
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        labels = shared.value
         if not cache:
-            m, w = shared.value, words.value
-            cls = np.array([m.class_of(x) for x, _ in w], np.int64).reshape(-1)
-            n = np.array([c for _, c in w], float)
-            cache.update(index={x: k for k, (x, _) in enumerate(w)}, cls=cls, base=np.log10((n + 0.5) / m.base_total), own=np.log10((n + 0.5) / m.class_total[cls]))
-        return cache
+            cache["words"] = pa.array(labels.words, pa.binary())
+        n_local, k = len(labels.words), labels.classes
+        for flat in _pieces(batches, n_local):
+            known = flat.classes(labels)
+            cls = known[flat.at]
+            rare = flat.rare.field("word").dictionary_encode()
+            slot = np.concatenate((np.arange(n_local), n_local + rare.indices.to_numpy(zero_copy_only=False)))
+            first = np.full(n_local + len(rare.dictionary), -1, np.int64)
+            first[slot] = known
+            here = np.flatnonzero(flat.at >= labels.n_frequent)
+            own = slot[flat.at[here]] * (2 * k)
+            keys, times = np.unique(np.concatenate((own + flat.before(cls)[here], own + k + flat.after(cls)[here])), return_counts=True)
+            if not len(keys):
+                continue
+            words, start = np.unique(keys // (2 * k), return_index=True)
+            packed = (keys % (2 * k) << 40) | times
+            offsets = (np.append(start, len(keys)) * 8).astype(np.int32)
+            blobs = pa.Array.from_buffers(pa.binary(), len(words), [None, pa.py_buffer(offsets), pa.py_buffer(packed.astype("<i8"))])
+            names = pa.concat_arrays([cache["words"], rare.dictionary.cast(pa.binary())]).take(pa.array(words))
+            for a in range(0, len(words), 50_000):
+                yield pa.RecordBatch.from_pydict({"word": names[a : a + 50_000], "cls": pa.array(first[words[a : a + 50_000]], pa.int32()), "seen": blobs[a : a + 50_000]})
+
+    return rows.select("ids", "rare").mapInArrow(run, "word binary, cls int, seen binary")
+
+
+def best_classes(seen: np.ndarray, cls: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Per word the class of the greatest likelihood, the bigrams ``n`` of all other tokens being as they are.
+
+    ``seen`` counts the classes before the word and then those behind it; a word's own tokens don't speak for its class.
+    """
+    k = len(n)
+    before, behind = seen[:, :k], seen[:, k:]
+    own = seen[:, :k].sum(1)
+    log, total = np.log(n + 0.5), n.sum(1)
+    gain = before @ log + behind @ log.T - 2 * own[:, None] * np.log(total + 0.5)
+    there = (before * np.log(np.maximum(n[:, cls].T - before, 0) + 0.5)).sum(1) + (behind * np.log(np.maximum(n[cls] - behind, 0) + 0.5)).sum(1)
+    at = np.arange(len(cls))
+    gain[at, cls] = there - 2 * own * np.log(np.maximum(total[cls] - own, 0) + 0.5)
+    gain = np.round(gain, 6)
+    best = gain.argmax(1)
+    return np.where(gain[at, best] > gain[at, cls], best, cls)
+
+
+def _moved(contexts: DataFrame, n: np.ndarray) -> DataFrame:
+    """(word, n, cls): every word with its count and its best class."""
+    shared, k = contexts.sparkSession.sparkContext.broadcast(n), len(n)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, t = shared.value, tables()
-        task, nth = TaskContext.get().partitionId(), 0
+        n = shared.value
         for batch in batches:
-            sizes, known, base, score, rare = [], [], [], [], []
-            for text in batch.column("text").to_pylist():
-                words_ = tokens_of(text)
-                at = np.array([t["index"].get(w, -1) for w in words_], np.int64)
-                here = at >= 0
-                cls = np.empty(len(at), np.int64)
-                cls[here] = t["cls"][at[here]]
-                others: dict[bytes, list[int]] = {}
-                for k in np.flatnonzero(~here).tolist():
-                    w = words_[k]
-                    if w in others:
-                        others[w][0] += 1
-                    else:
-                        others[w] = [1, m.class_of(w)]
-                    cls[k] = others[w][1]
-                steps = m.transition[np.concatenate((cls[-1:], cls[:-1])), cls].sum()
-                sizes.append(len(at))
-                known.append(int(here.sum()))
-                base.append(float(t["base"][at[here]].sum()))
-                score.append(float(steps + t["own"][at[here]].sum()))
-                rare.append([{"word": w, "times": n, "class": c} for w, (n, c) in others.items()])
-            n = len(sizes)
-            yield pa.RecordBatch.from_pydict({
-                "task": pa.array([task] * n, pa.int32()), "nth": pa.array(range(nth, nth + n), pa.int64()), "id": batch.column("id"), "held_out": batch.column("held_out"),
-                "n_tokens": pa.array(sizes, pa.int64()), "known": pa.array(known, pa.int64()), "base": pa.array(base, pa.float64()), "own": pa.array(score, pa.float64()),
-                "rare": pa.array(rare, pa.list_(pa.struct([("word", pa.binary()), ("times", pa.int32()), ("class", pa.int32())]))),
-            })
-            nth += n
-
-    src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"), F.expr(keep_cols).alias("held_out"))
-    return src.mapInArrow(run, "task int, nth long, id long, held_out boolean, n_tokens long, known long, base double, own double, rare array<struct<word:binary,times:int,class:int>>")
-
-
-def score_texts(docs: DataFrame, *, held_out: str = "false", classes: int = CLASSES, frequent: int = FREQUENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+            for a in range(0, batch.num_rows, 4096):
+                part = batch.slice(a, 4096)
+                lists = part.column("seen")
+                blobs = lists.flatten()
+                size = pa.compute.binary_length(blobs).to_numpy(zero_copy_only=False) // 8
+                word = np.repeat(np.repeat(np.arange(part.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False)), size)
+                packed = np.frombuffer(b"".join(blobs.to_pylist()), "<i8")
+                seen = np.bincount(word * (2 * k) + (packed >> 40), packed & ((1 << 40) - 1), part.num_rows * 2 * k).reshape(-1, 2 * k)
+                best = best_classes(seen, part.column("cls").to_numpy(zero_copy_only=False).astype(np.int64), n)
+                yield pa.RecordBatch.from_pydict({"word": part.column("word"), "n": pa.array(seen[:, :k].sum(1).astype(np.int64)), "cls": pa.array(best, pa.int32())})
+
+    return contexts.groupBy("word", "cls").agg(F.collect_list("seen").alias("seen")).mapInArrow(run, "word binary, n long, cls int")
+
+
+def _labelled(rows: DataFrame, words: DataFrame) -> DataFrame:
+    """The encoded rows with the class and the count of each rare word; an unseen word keeps its spelling."""
+    key = ["task", "nth"]
+    rare = rows.select(*key, F.explode("rare").alias("r")).select(*key, "r.k", "r.word", "r.unit")
+    met = rare.join(words, "word", "left")
+    one = F.struct("k", "word", "unit", F.coalesce("cls", F.lit(-1)).alias("cls"), F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+    back = met.groupBy(*key).agg(F.array_sort(F.collect_list(one)).alias("rare"))
+    return rows.drop("rare").join(back, key, "left").withColumn("rare", F.coalesce("rare", F.array().cast("array<struct<k:int,word:binary,unit:int,cls:int,n:long>>")))
+
+
+class ClassModel:
+    """Class transitions, and what words cost within their class."""
+
+    def __init__(self, labels: Labels, n: np.ndarray, n_tokens: int, n_words: int, class_tokens: np.ndarray, class_words: np.ndarray):
+        self.labels, k = labels, labels.classes
+        share = (n.sum(0) + 1) / (n.sum() + k)
+        self.transition = np.log10((n + SMOOTH * share) / (n.sum(1, keepdims=True) + SMOOTH))
+        self.n_tokens, self.n_words = n_tokens, n_words
+        self.base_total = n_tokens + 0.5 * (n_words + 1)
+        self.class_total = class_tokens + 0.5 * (class_words + 1)
+
+
+def fit(docs: DataFrame, work: Workspace, *, held_out: str, classes: int, frequent: int, passes: int, id_col: str, text_col: str) -> tuple[ClassModel, DataFrame, list[tuple[bytes, int]]]:
+    """The model, all rows encoded with the final classes of their rare words, and the local words with their counts."""
+    train = docs.filter(f"not ({held_out})").select(F.col(text_col).cast("binary").alias("text"))
+    counts = work.save(word_counts(train), "counts")
+    totals = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
+    local = frequent_words(counts, LOCAL_WORDS, LOCAL_WORD_BYTES)
+    n_local, top = len(local), min(frequent, len(local))
+    rows = work.save(_encode(docs, local, top, id_col, text_col, held_out), "encoded")
+    trained = lambda x: x.filter("not held_out")
+    spelled = np.array([top + shape_of(w) for w, _ in local[top:]], np.int64)
+    unit = np.concatenate((np.arange(top), spelled))
+    bigrams = _square(trained(rows), n_local, lambda flat: np.concatenate((unit, flat.field("unit").astype(np.int64))), top + SHAPES)
+    cls = exchange(bigrams, classes)
+    labels = Labels(local, top, cls, classes)
+    onehot = np.eye(classes)[cls]
+    n = onehot.T @ bigrams @ onehot
+    words = None
+    for at in range(passes):
+        found = work.save(_moved(_contexts(trained(rows), labels), n), f"words{at}")
+        near = found.filter((F.octet_length("word") <= LOCAL_WORD_BYTES) & (F.col("n") >= (local[-1][1] if local else 1 << 62))).select("word", "cls").toArrow()
+        next_labels = labels.moved(dict(zip(near.column("word").to_pylist(), near.column("cls").to_pylist(), strict=True)))
+        next_rows = work.save(_labelled(rows, found), f"labelled{at}")
+        next_n = _square(trained(next_rows), n_local, lambda flat, x=next_labels: flat.classes(x), classes)
+        if words is not None and likelihood(next_n) <= likelihood(n):
+            work.drop(f"words{at}", f"labelled{at}")
+            break
+        work.drop("encoded" if not at else f"labelled{at - 1}", *([f"words{at - 1}"] if at else []))
+        rows, labels, n, words = next_rows, next_labels, next_n, found
+    tokens, distinct = np.zeros(classes), np.zeros(classes)
+    for r in words.groupBy("cls").agg(F.sum("n").alias("t"), F.count("*").alias("w")).collect():
+        tokens[r.cls], distinct[r.cls] = r.t, r.w
+    np.add.at(tokens, labels.of_local[:top], np.array([c for _, c in local[:top]], float))
+    np.add.at(distinct, labels.of_local[:top], 1)
+    return ClassModel(labels, n, totals.n or 0, totals.v or 0, tokens, distinct), rows, local
+
+
+def score_texts(docs: DataFrame, *, held_out: str = "false", classes: int = CLASSES, frequent: int = FREQUENT, passes: int = PASSES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Learn from the rows where the SQL condition ``held_out`` is false, score all.
 
     Per row: id_col, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity.
     """
     need(docs, id_col, text_col)
     work = Workspace(docs.sparkSession, "class_lm")
-    train = docs.filter(f"not ({held_out})").select(F.col(text_col).cast("binary").alias("text"))
-    model, counts, local = fit(train, work, classes=classes, frequent=frequent)
-    rows = work.save(_local_pass(docs, model, local, id_col, text_col, held_out), "rows")
-    rare = rows.select("task", "nth", F.explode("rare").alias("r")).select("task", "nth", "r.word", "r.times", "r.class")
-    c = F.coalesce(F.col("n"), F.lit(0)) + 0.5
-    total = F.element_at(F.array(*[F.lit(float(x)) for x in model.class_total]), F.col("class") + 1)
-    met = rare.join(counts, "word", "left")
-    sums = met.groupBy("task", "nth").agg(
-        F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("known_rare"),
-        F.sum(F.col("times") * F.log10(c / F.lit(float(model.base_total)))).alias("base_rare"),
-        F.sum(F.col("times") * F.log10(c / total)).alias("own_rare"),
-    )
-    none = F.lit(0)
-    out = rows.drop("rare").join(sums, ["task", "nth"], "left")
-    score = F.col("own") + F.coalesce("own_rare", none)
+    model, rows, local = fit(docs, work, held_out=held_out, classes=classes, frequent=frequent, passes=passes, id_col=id_col, text_col=text_col)
+    shared = docs.sparkSession.sparkContext.broadcast((model, np.array([c for _, c in local], np.int64)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m, local_n = shared.value
+        for batch in batches:
+            at = 0
+            for flat in _pieces(iter([batch]), len(local_n)):
+                known = flat.classes(m.labels)
+                n = np.concatenate((local_n, flat.field("n").astype(np.int64)))
+                cls = known[flat.at]
+                base, own = np.log10((n + 0.5) / m.base_total)[flat.at], np.log10((n + 0.5) / m.class_total[known])[flat.at]
+                own = own + m.transition[flat.before(cls), cls]
+                part = batch.slice(at, len(flat.starts))
+                at += len(flat.starts)
+                yield pa.RecordBatch.from_pydict({
+                    "id": part.column("id"), "held_out": part.column("held_out"), "n_tokens": pa.array(flat.size.astype(np.int64)), "n_known": pa.array(np.add.reduceat((n > 0)[flat.at].astype(np.int64), flat.starts)),
+                    "base_score": pa.array(np.add.reduceat(base, flat.starts)), "score": pa.array(np.add.reduceat(own, flat.starts)),
+                })
+
+    out = rows.mapInArrow(run, "id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return out.select(
         F.col("id").alias(id_col),
         "held_out",
         "n_tokens",
-        (F.col("known") + F.coalesce("known_rare", none)).cast("long").alias("n_known"),
+        "n_known",
         F.lit(model.n_tokens).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("base_rare", none)).alias("base_score"),
-        score.alias("score"),
-        F.pow(F.lit(10.0), -score / F.col("n_tokens")).alias("perplexity"),
+        "base_score",
+        "score",
+        F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"),
     )

@@ -368,3 +368,51 @@ def test_components(spark):
     got = components(spark.createDataFrame(pairs, "a long, b long"), Workspace(spark, "t"))
     linked = {x for p in pairs if p[0] != p[1] for x in p}
     assert {r.id: r.component for r in got.collect()} == {i: c for i, c in want.items() if i in linked}
+
+
+def test_class_lm_classes_come_from_contexts(spark):
+    """Rare words of two places in the sentence; a third of each is spelled like the other: contexts must tell them apart."""
+    from isoweave.llm import class_lm
+    from isoweave.llm.common import Workspace
+
+    rng = random.Random(3)
+    made = ["".join(rng.choice("bcdfghklmnprst") + rng.choice("aeiou") for _ in range(3)) for _ in range(400)]
+    made = sorted(set(made))
+    a = [w + "7" * (k % 3 == 0) for k, w in enumerate(made[0::2])]
+    b = [w + "7" * (k % 3 != 0) for k, w in enumerate(made[1::2])]
+    rows = [(i, " ".join(x for _ in range(6) for x in ("the", rng.choice(a), "of", rng.choice(b)))) for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    old = class_lm.LOCAL_WORDS
+    for local in (old, 100):
+        class_lm.LOCAL_WORDS = local
+        try:
+            model, got, words = class_lm.fit(df, Workspace(spark, "t"), held_out="false", classes=5, frequent=3, passes=2, id_col="doc_id", text_col="text")
+        finally:
+            class_lm.LOCAL_WORDS = old
+        cls = {w.decode(): int(c) for (w, _), c in zip(words, model.labels.of_local, strict=True)}
+        for r in got.collect():
+            cls |= {bytes(x.word).decode(): x.cls for x in r.rare}
+        ca, cb = {cls[w] for w in a if w in cls}, {cls[w] for w in b if w in cls}
+        assert len(ca) == len(cb) == 1 and ca != cb
+        assert model.class_total.sum() == sum(len(t.split()) + 1 for _, t in rows) + 0.5 * (len(cls) + 5)
+
+
+def test_best_classes_leave_own_tokens_out():
+    from isoweave.llm.class_lm import best_classes
+
+    rng = np.random.default_rng(2)
+    n = rng.integers(50, 90, (4, 4)).astype(float)
+    cls, seen = rng.integers(0, 4, 30), rng.integers(0, 4, (30, 8)).astype(float)
+    seen[:, 4] += seen[:, :4].sum(1) - seen[:, 4:].sum(1) + 40
+    seen[:, 0] += 40
+    for w, got in enumerate(best_classes(seen, cls, n)):
+        def gain(c, w=w):
+            m, out, own = n.copy(), n.sum(1), seen[w, :4].sum()
+            if c == cls[w]:
+                m[:, c] -= seen[w, :4]
+                m[c] = n[c] - seen[w, 4:]
+                out = out - own
+            left = n[:, c] - (seen[w, :4] if c == cls[w] else 0)
+            m, out = np.maximum(m, 0), np.maximum(out, 0)
+            return (seen[w, :4] * np.log(np.maximum(left, 0) + 0.5)).sum() + (seen[w, 4:] * np.log(m[c] + 0.5)).sum() - 2 * own * np.log(out[c] + 0.5)
+        assert got == max(range(4), key=gain)

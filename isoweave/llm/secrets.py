@@ -7,11 +7,15 @@ Base kinds are reported wherever they stand:
 Weak kinds are only parts of a credential, each common in harmless text:
     id        a token of capitals and digits, 12 or more, with 2 or more of each
     secret    a token of 20 or more with a capital, a small letter and a digit
-    endpoint  a URL or an IPv4 address with or without a port
+    endpoint  a URL, or an IPv4 address with or without a port; a URL's user
+              information, query and fragment are no part of it, so that parts
+              in them stand for themselves
 A weak part is reported only if a complementary part lies in its scope, that is
 in the same document with at most ``scope`` code points between the two: an id
 needs a secret, a secret needs an id or an endpoint, an endpoint needs a
 secret.  Base spans count as parts too (access as id, assign and hex as secret).
+Parts of different kinds may overlap (an id in a longer token, a token in a
+URL's path): each counts for others, but they don't complement each other.
 
 The scan makes one row per document; the linking is an interval join between
 parts, on the document and on bins ``scope`` wide, so that only neighbours meet.
@@ -45,7 +49,7 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
 WEAK_ID = re.compile(r"(?<![A-Za-z0-9])[A-Z0-9]{12,}(?![A-Za-z0-9])")
 WEAK_SECRET = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
-ENDPOINT = re.compile(r"https?://[^\s\"'<>]+|(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?::\d{1,5})?(?![\d.])")
+ENDPOINT = re.compile(r"https?://(?:(?:[^\s\"'<>/?#@]*@)(?P<host>[^\s\"'<>?#]+)|[^\s\"'<>?#]+)|(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?::\d{1,5})?(?![\d.])")
 DIGIT = re.compile(r"[0-9]")
 
 Span = tuple[int, int, int]  # kind (a place in KINDS), start, end
@@ -63,18 +67,18 @@ def base_spans(text: str) -> list[Span]:
 
 
 def weak_spans(text: str, base: list[Span]) -> list[Span]:
-    """Weak parts that overlap no base span nor one another."""
-    if not DIGIT.search(text):
-        return [(5, *m.span()) for m in ENDPOINT.finditer(text)] if "://" in text else []
-    found = [(5, *m.span()) for m in ENDPOINT.finditer(text)]
-    for m in WEAK_ID.finditer(text):
+    """Weak parts that overlap no base span; those of one kind don't overlap."""
+    digit = DIGIT.search(text)
+    if not digit and "://" not in text:
+        return []
+    found = [(5, *m.span("host" if m["host"] else 0)) for m in ENDPOINT.finditer(text)]
+    for m in WEAK_ID.finditer(text) if digit else ():
         digits = sum(c.isdigit() for c in m[0])
         if 2 <= digits <= len(m[0]) - 2:
             found.append((3, *m.span()))
-    for m in WEAK_SECRET.finditer(text):
+    for m in WEAK_SECRET.finditer(text) if digit else ():
         if re.search("[a-z]", m[0]) and re.search("[A-Z]", m[0]) and DIGIT.search(m[0]):
             found.append((4, *m.span()))
-    kept: list[Span] = []
     ends, starts = [0], [0]  # the base spans, joined where they overlap
     for s, e in sorted((s, e) for _, s, e in base):
         if s < ends[-1]:
@@ -82,10 +86,7 @@ def weak_spans(text: str, base: list[Span]) -> list[Span]:
         else:
             starts.append(s)
             ends.append(e)
-    for kind, s, e in sorted(found, key=lambda x: (x[1], -x[2], x[0])):
-        if ends[bisect.bisect_left(starts, e) - 1] <= s and not (kept and kept[-1][2] > s):
-            kept.append((kind, s, e))
-    return kept
+    return [(kind, s, e) for kind, s, e in sorted(found, key=lambda x: (x[1], -x[2], x[0])) if ends[bisect.bisect_left(starts, e) - 1] <= s]
 
 
 def scan(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -118,10 +119,11 @@ def link(rows: DataFrame, scope: int = SCOPE) -> DataFrame:
     def bins(a: Column, b: Column) -> Column:
         return F.explode(F.sequence(F.floor(F.greatest(a, F.lit(0)) / scope), F.floor(b / scope)))
 
-    near = weak.withColumn("bin", bins(F.col("start") - scope, F.col("end") + scope))
+    near = weak.withColumn("bin", bins(F.col("start") - scope - 1, F.col("end") + scope))  # a part that ends at start - scope has its last place before
     parts = every.withColumn("bin", bins(F.col("start"), F.col("end") - 1))
     fits = [(F.col("w.kind") == KINDS.index(k)) & F.col("p.kind").isin([KINDS.index(x) for x in needs]) for k, needs in NEEDS.items()]
     on = (fits[0] | fits[1] | fits[2]) & (F.col("w.start") <= F.col("p.end") + scope) & (F.col("p.start") <= F.col("w.end") + scope)
+    on = on & ((F.col("p.end") <= F.col("w.start")) | (F.col("p.start") >= F.col("w.end")))
     for c in [*key, "bin"]:
         on = on & (F.col(f"w.{c}") == F.col(f"p.{c}"))
     hits = near.alias("w").join(parts.alias("p"), on, "left_semi").select(*key, F.struct("start", "kind", "end").alias("s"))

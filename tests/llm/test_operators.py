@@ -416,3 +416,25 @@ def test_best_classes_leave_own_tokens_out():
             m, out = np.maximum(m, 0), np.maximum(out, 0)
             return (seen[w, :4] * np.log(np.maximum(left, 0) + 0.5)).sum() + (seen[w, 4:] * np.log(m[c] + 0.5)).sum() - 2 * own * np.log(out[c] + 0.5)
         assert got == max(range(4), key=gain)
+
+
+def test_secrets_linked_in_urls_and_at_the_scope(spark):
+    from isoweave.llm.secrets import KINDS, NEEDS, SCOPE, base_spans, find_secrets, weak_spans
+
+    rng = random.Random(8)
+    parts = ["QWERTY123456", "aB3dE6gH9jK2mN5pQ8sT1", "https://svc.example/login", "10.0.0.1:80", "https://svc.example/a?id=QWERTY123456&sig=aB3dE6gH9jK2mN5pQ8sT1", "https://u:aB3dE6gH9jK2mN5pQ8sT1@svc.example/x", "https://svc.example/p/Ab3/cdefghijklmnopqrst", "id=ABCDEFGHIJ1234567890", "a1" * 20]
+    texts = [parts[4], parts[5], parts[6], parts[7]]
+    for gap in (SCOPE - 1, SCOPE, SCOPE + 1):
+        for lead in (0, 1, 178, 179, 180):
+            texts += [" " * lead + x + " " * gap + y for x, y in ((parts[1], parts[0]), (parts[0], parts[1]))]
+    texts += ["".join(rng.choice(parts) + " " * rng.choice((1, 90, 199, 200, 201)) for _ in range(6)) for _ in range(60)]
+    linked = {r.doc_id: [(KINDS[s.kind], s.start, s.end) for s in r.linked] for r in find_secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, text in enumerate(texts):
+        base = base_spans(text)
+        weak = [(KINDS[k], s, e) for k, s, e in weak_spans(text, base)]
+        every = weak + [(KINDS[k], s, e) for k, s, e in base]
+        want = [w for w in weak if any(p[0] in NEEDS[w[0]] and (0 <= w[1] - p[2] <= SCOPE or 0 <= p[1] - w[2] <= SCOPE) for p in every)]
+        assert sorted(linked[i]) == sorted(want)
+    said = [[(k, texts[i][s:e]) for k, s, e in linked[i]] for i in range(4)]
+    assert said[0] == [("endpoint", "https://svc.example/a"), ("id", "QWERTY123456"), ("secret", "sig=aB3dE6gH9jK2mN5pQ8sT1")]
+    assert said[1] == [("secret", "aB3dE6gH9jK2mN5pQ8sT1"), ("endpoint", "svc.example/x")] and said[2:] == [[], []]

@@ -20,8 +20,8 @@ The benchmark is taken in blocks of about ``BLOCK_WORDS`` words, each of which
 is broadcast and scans all documents; its size is checked, not assumed.
 
 Defined cases: null or empty documents and items match nothing; items of equal
-words are one, named by the smallest id; a row is scanned as often as it
-occurs; null ids are kept; extra columns are ignored; empty tables give no rows.
+words are scanned as one and reported under each of their ids, a null id as
+null; a row is scanned as often as it occurs; null ids are kept; extra columns are ignored; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -109,7 +109,7 @@ def _rolled(h: np.ndarray, width: int) -> np.ndarray:
 class ItemBlock:
     """Items ready for scanning; built once in each Python worker, whose word hashes it uses."""
 
-    def __init__(self, items: list[tuple[int, list[str]]]):
+    def __init__(self, items: list[tuple[list[int | None], list[str]]]):
         self.items = items
         self.width = [min(SHINGLE, len(w)) for _, w in items]
         self.bags = [Counter(shingles(w, k)) for (_, w), k in zip(items, self.width, strict=True)]
@@ -134,8 +134,8 @@ class ItemBlock:
     def hashes(words: list[str]) -> np.ndarray:
         return np.fromiter(map(hash, words), np.int64, len(words))
 
-    def matches(self, text: str | None) -> list[tuple[int, float, int]]:
-        """(item id, similarity, first word) of the best window for each item that reaches SIMILARITY."""
+    def matches(self, text: str | None) -> list[tuple[list[int | None], float, int]]:
+        """(item ids, similarity, first word) of the best window for each item that reaches SIMILARITY."""
         words = words_of(text)
         if not words:
             return []
@@ -193,17 +193,17 @@ def item_blocks(benchmark: DataFrame, item_col: str, item_text_col: str, block_w
     need(benchmark, item_col, item_text_col)
     words = F.filter(F.split(F.lower(F.col(item_text_col).cast("string")), r"\s+"), lambda w: w != "")
     items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.array_join(words, " ").alias("text"), F.size(words).cast("long").alias("n"))
-    items = items.filter("item is not null and n > 0")
+    items = items.filter("n > 0")
     total = items.agg(F.sum("n")).first()[0] or 0
     n_blocks = -(-total // block_words)
     for b in range(n_blocks):
-        by_words: dict[tuple[str, ...], int] = {}
+        by_words: dict[tuple[str, ...], set[int | None]] = {}
         for r in items.filter(F.pmod(F.xxhash64("text"), F.lit(n_blocks)) == b).collect():
             key = tuple(words_of(r.text))
             if key:
-                by_words[key] = min(by_words.get(key, r.item), r.item)
+                by_words.setdefault(key, set()).add(r.item)
         if by_words:
-            yield _Shared(benchmark.sparkSession.sparkContext.broadcast(sorted((i, list(w)) for w, i in by_words.items())))
+            yield _Shared(benchmark.sparkSession.sparkContext.broadcast([(sorted(i, key=lambda x: (x is None, x or 0)), list(w)) for w, i in sorted(by_words.items())]))
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -217,7 +217,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "
         def scan(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             block = _block(shared)
             for batch in batches:
-                rows = [(i, *m) for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for m in block.matches(text)]
+                rows = [(i, item, *m) for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for items, *m in block.matches(text) for item in items]
                 cols = list(zip(*rows, strict=True)) or [()] * 4
                 kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64())
                 yield pa.RecordBatch.from_pydict({n: pa.array(c, k) for n, c, k in zip((id_col, item_col, "similarity", "start"), cols, kinds, strict=True)})

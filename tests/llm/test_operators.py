@@ -438,3 +438,15 @@ def test_secrets_linked_in_urls_and_at_the_scope(spark):
     said = [[(k, texts[i][s:e]) for k, s, e in linked[i]] for i in range(4)]
     assert said[0] == [("endpoint", "https://svc.example/a"), ("id", "QWERTY123456"), ("secret", "sig=aB3dE6gH9jK2mN5pQ8sT1")]
     assert said[1] == [("secret", "aB3dE6gH9jK2mN5pQ8sT1"), ("endpoint", "svc.example/x")] and said[2:] == [[], []]
+
+
+def test_decontamination_keeps_null_and_equal_items(spark):
+    from isoweave.llm.decontaminate import decontaminate, find_contamination
+
+    rng = random.Random(4)
+    x, y, z = (prose(rng, 30) for _ in range(3))
+    bench = spark.createDataFrame([(None, x), (5, y), (3, y.upper()), (5, y)], "item_id long, text string")
+    df = spark.createDataFrame([(1, x), (2, "a " + y), (3, z)], "doc_id long, text string")
+    got = sorted(((r.doc_id, r.item_id) for r in find_contamination(df, bench).collect()), key=str)
+    assert got == [(1, None), (2, 3), (2, 5)]
+    assert [r.doc_id for r in decontaminate(df, bench).collect()] == [3]

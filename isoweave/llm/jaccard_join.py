@@ -1,32 +1,35 @@
 """N-gram Jaccard join: texts whose shingle sets have a Jaccard index of at least a threshold.
 
 A text's set holds its distinct ``width``-word shingles as 64-bit hashes; texts
-of one set are one class, named by a hash of the set, and join once.
-
-Classes that link must share two tokens in their extended prefixes: the first
-|x| - ceil(t |x|) + 2 tokens of each set, in one order of all tokens.  Tokens
-are of a frequent or a rare class, rare ones first and by hash within a class.
-So a pair shares a rare token there, or two frequent ones, and the index holds
-each rare token alone and the frequent tokens two by two.  Frequent are tokens
-in the hash-ordered prefixes of over ``FREQUENT`` components, kept as a bitmap
-of fixed size; a false positive there only moves a token in the order.
-
-1. Groups of near copies are joined first, so that they don't flood the index:
-   combinations of two tokens that are the least of their kind pair each class
-   with the first class of the same combination, and verified pairs are joined.
-2. Tokens that would give over ``LONG_LIST`` pairs of components are counted
-   first and become frequent, which brings other tokens into the prefixes, so
-   this is repeated until none is found, ``ROUNDS`` times at most.  The index is
-   built, keys of one class or one component are dropped (their links could not
-   change a component), and where a key still gives over ``LONG_LIST`` pairs its
-   token becomes frequent and the index is built anew, ``ROUNDS`` times at most;
-   what is long even then is compared in full.
-3. Pairs of different components under a key whose sizes fit are candidates.
-
-A candidate's sets differ in at least as many tokens as their ``SIGNATURE``-bit
-parity signatures differ in bits; pairs that cannot reach the threshold are
-dropped, by 128 folded bits where they meet and by all bits later, and all others
-are verified on the whole sets, read again from the texts.
+of one set are one class, named by a hash of the set, and join once.  A set of n
+tokens may lose n - ceil(t n) of them to a partner and still link.
+
+1. Which classes can link at all.  The first tokens of each set in hash order,
+   0.4 times as many again as it may lose, are counted over all classes.  Of two
+   that link, the one whose prefix ends first has all it shares there in the
+   other's prefix too; so both hold a known number of tokens that another class
+   holds there.  Classes with fewer can't link.  Only the rest, the candidates,
+   are kept as whole sets, read again from their texts.
+2. The index.  Tokens are counted over the candidates; those of one class drop
+   out and count as lost.  The others are ordered by count, rarest first, and
+   fall into frequency classes: up to ``FREQUENT`` classes a token stands alone
+   in the index, above that only combinations of two frequent tokens do, above
+   ``VERY_FREQUENT`` of three.  Frequent tokens combine only within groups (by
+   their hash), more groups for larger sets, so that combinations grow as the
+   prefix.  A prefix is extended until, with all losses a set may have, some
+   group still keeps a whole combination: sum of (tokens of a group - size of its
+   combinations + 1) > losses.  The pair's smaller set names the number of
+   groups; the larger one is indexed for all sizes that a partner may have.
+3. Rounds of merging.  Within each key, in an order by hash, neighbours of
+   different components whose sizes and signatures fit are compared, the
+   likeliest pair of each class only, and linked classes are joined.  This finds
+   no link that step 4 would miss; it spares it the pairs within components.
+4. The rest.  Under each key, members outside the key's largest component meet
+   all members of other components, in cells of ``CELL`` by ``CELL`` rows, so that
+   no key is one task.  What fits is verified on the whole sets.
+
+Pairs fit if their sizes allow the threshold and so do their signatures: sets
+differ in at least as many tokens as their 512-bit parity signatures in bits.
 
 Defined cases: null or empty texts have no shingles and link with nothing; rows
 with a null id are left alone; rows with one id are texts of one document, and
@@ -35,6 +38,7 @@ what one of them links to the others reach too; extra columns are ignored.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -47,35 +51,32 @@ from isoweave.llm.common import Workspace, need
 from isoweave.llm.components import components
 from isoweave.llm.shingle_sets import mix, shingle_set
 
-SIGNATURE, BITMAP_BITS = 512, 24
-#: Components that make a token frequent; pairs of a key that make its token so too; times to try.
-FREQUENT, LONG_LIST, ROUNDS = 16, 100_000, 3
-#: Sets up to this size are kept whole in the index's source, larger ones to SLACK prefixes.
-WHOLE, SLACK = 64, 1.4
+#: Candidate classes up to which a token is rare; beyond the second number, combinations of three.
+FREQUENT, VERY_FREQUENT = 32, 2048
+#: Rows of a key that meet in one task; rounds of merging before the rest; ids that may be broadcast (8 MB).
+CELL, ROUNDS, BROADCAST_IDS = 2048, 4, 1 << 20
+_MULT = np.uint64(0x9E3779B97F4A7C15)
+_SIGN = [f"s{k}" for k in range(8)]
 
 
-def prefix_length(n: int, percent: int) -> int:
-    """Length of the extended prefix of a set of ``n`` tokens."""
-    return min(n, n - (percent * n + 99) // 100 + 2)
+def least_shared(n: int, percent: int) -> int:
+    """How many tokens of a set of ``n`` any partner must hold."""
+    return (percent * n + 99) // 100
 
 
-def _signature(s: np.ndarray) -> bytes:
-    return np.packbits(np.bincount((s >> np.uint64(20)).astype(np.int64) & (SIGNATURE - 1), minlength=SIGNATURE) & 1).tobytes()
+def first_length(n: int, percent: int) -> int:
+    """Length of the prefix, in hash order, that step 1 counts."""
+    lost = n - least_shared(n, percent)
+    return min(n, lost + (2 * lost + 4) // 5 + 4)
 
 
-def _folded(sig: bytes) -> tuple[int, int]:
-    """The signature in 128 bits: parities of unions of its kinds, so no pair differs in more bits than before."""
-    w = np.frombuffer(sig, "<i8")
-    return int(np.bitwise_xor.reduce(w[::2])), int(np.bitwise_xor.reduce(w[1::2]))
+def groups_of(n: int, percent: int) -> int:
+    """Groups of frequent tokens for pairs whose smaller set has ``n``, a power of 2; 0 if all tokens stand alone.
 
-
-def _least_pairs(s: np.ndarray, pairs: int = 4) -> np.ndarray:
-    """Hashes of two tokens each, the least of their residue."""
-    kind = (s & np.uint64(2 * pairs - 1)).astype(np.int64)
-    least = np.arange(2 * pairs, dtype=np.uint64)
-    kinds, first = np.unique(kind, return_index=True)
-    least[kinds] = s[first]
-    return mix(least[::2] * np.uint64(0x9E3779B97F4A7C15) + mix(least[1::2]) + np.arange(pairs, dtype=np.uint64))
+    At most (least_shared - 1) / 3, so that a whole set always suffices as its own prefix.
+    """
+    keep = least_shared(n, percent)
+    return 1 << (max(1, min((n - keep) // 4, (keep - 1) // 3)).bit_length() - 1) if keep > 3 else 0
 
 
 def _name(s: np.ndarray) -> int:
@@ -87,249 +88,247 @@ def _source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _scan(source: DataFrame, width: int, percent: int) -> DataFrame:
-    """Per row: id, node (null without shingles), n, sig, s1 and s2 (sig folded), combos, low (its least tokens)."""
+    """Per row: id, sid (the class; null without shingles or id), n, low (its first tokens)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cols: dict[str, list] = {c: [] for c in ("node", "n", "sig", "s1", "s2", "combos", "low")}
+            sids, sizes, low = [], [], []
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 s = shingle_set(text or b"", width)
-                n = len(s)
-                keep = n if n <= WHOLE else int(SLACK * prefix_length(n, percent)) + 8
-                fine = n and i is not None
-                cols["n"].append(n)
-                cols["node"].append(_name(s) if fine else None)
-                sig = _signature(s) if fine else None
-                s1, s2 = _folded(sig) if fine else (None, None)
-                cols["sig"].append(sig)
-                cols["s1"].append(s1)
-                cols["s2"].append(s2)
-                cols["combos"].append(_least_pairs(s).view(np.int64) if fine else None)
-                cols["low"].append(s[:keep].view(np.int64) if fine else None)
-            longs = pa.list_(pa.int64())
-            kinds = {"node": pa.int64(), "n": pa.int64(), "sig": pa.binary(), "s1": pa.int64(), "s2": pa.int64(), "combos": longs, "low": longs}
-            yield pa.RecordBatch.from_pydict({"id": batch.column(0)} | {c: pa.array(v, kinds[c]) for c, v in cols.items()})
-
-    return source.mapInArrow(run, "id long, node long, n long, sig binary, s1 long, s2 long, combos array<long>, low array<long>")
-
-
-def _bitmap(values: DataFrame, bits: int = BITMAP_BITS) -> np.ndarray:
-    """A bit array with the low ``bits`` of every value of the column v set; 2**bits bits, whatever the rows."""
-    at = F.col("v").bitwiseAND(F.lit((1 << bits) - 1))
-    words = values.groupBy(F.shiftright(at, 5).alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(F.lit(31)).cast("int"))).alias("b"))
-    rows, out = words.toArrow(), np.zeros((1 << bits) // 32, np.uint32)
-    out[rows.column("w").to_numpy()] = rows.column("b").to_numpy().astype(np.uint32)
+                fine = len(s) and i is not None
+                sizes.append(len(s))
+                sids.append(_name(s) if fine else None)
+                low.append(s[: first_length(len(s), percent)].view(np.int64) if fine else None)
+            yield pa.RecordBatch.from_pydict({"id": batch.column(0), "sid": pa.array(sids, pa.int64()), "n": pa.array(sizes, pa.int64()), "low": pa.array(low, pa.list_(pa.int64()))})
+
+    return source.mapInArrow(run, "id long, sid long, n long, low array<long>")
+
+
+def _candidates(classes: DataFrame, percent: int, work: Workspace) -> DataFrame:
+    """(sid, n, id) of the classes that may link: enough of their first tokens are another's first tokens."""
+    tokens = classes.select("sid", F.explode("low").alias("token"))
+    shared = work.save(tokens.groupBy("token").agg(F.count("*").alias("c")).filter("c > 1").select("token"), "shared")
+    held = tokens.join(shared, "token").groupBy("sid").agg(F.count("*").alias("s"))
+    least = F.floor((percent * F.col("n") + 99) / 100)  # the smallest partner
+    keep = F.floor((percent * least + 99) / 100)
+    enough = F.least(keep, F.floor((2 * (least - keep) + 4) / 5) + 4)
+    found = held.join(classes.select("sid", "n", F.col("least").alias("id")), "sid").filter(F.col("s") >= enough)
+    out = work.save(found.select("sid", "n", "id"), "candidates")
+    work.drop("shared")
     return out
 
 
-def _has(bitmap: np.ndarray, values: np.ndarray, bits: int = BITMAP_BITS) -> np.ndarray:
-    at = values.astype(np.int64) & ((1 << bits) - 1)
-    return (bitmap[at >> 5] >> (at & 31).astype(np.uint32)) & 1 == 1
+def _signature(s: np.ndarray) -> np.ndarray:
+    return np.packbits(np.bincount((s >> np.uint64(20)).astype(np.int64) & 511, minlength=512) & 1).view("<i8")
 
 
-def _full_sets(source: DataFrame, wanted: DataFrame, width: int, work: Workspace, name: str) -> DataFrame:
-    """(node, tokens) of the wanted (node, id): a bitmap of the ids spares other texts."""
-    shared = source.sparkSession.sparkContext.broadcast(_bitmap(wanted.select(F.xxhash64("id").alias("v"))))
+def _whole_sets(source: DataFrame, wanted: DataFrame, width: int, work: Workspace) -> DataFrame:
+    """(sid, n, tokens, s0 to s7) of the wanted (sid, id); other texts are passed over."""
+    few = wanted.count() <= BROADCAST_IDS
+    small = (lambda x: F.broadcast(x)) if few else (lambda x: x)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            batch = batch.filter(pa.array(_has(shared.value, batch.column("h").to_numpy())))
             sets = [s for text in batch.column("text").to_pylist() if len(s := shingle_set(text or b"", width))]
-            yield pa.RecordBatch.from_pydict({"node": pa.array([_name(s) for s in sets], pa.int64()), "tokens": pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))})
-
-    found = source.filter("id is not null").select(F.xxhash64("id").alias("h"), "text").mapInArrow(run, "node long, tokens array<long>")
-    return work.save(found.join(wanted.select("node").distinct(), "node", "left_semi"), name)
-
-
-def _fits(percent: int) -> Column:
-    """Sizes that allow the threshold."""
-    return 100 * F.least("n1", "n2") >= percent * F.greatest("n1", "n2")
-
-
-class _Verifier:
-    def __init__(self, source: DataFrame, reps: DataFrame, width: int, percent: int, work: Workspace):
-        self.source, self.reps, self.width, self.percent, self.work, self.runs = source, reps, width, percent, work, 0
-
-    def links(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) of nodes that reach the threshold."""
-        percent, work, self.runs = self.percent, self.work, self.runs + 1
-        side = self.reps.select("node", "n", "sig", "id")
-        named = pairs.join(side.toDF("a", "n1", "sig1", "id1"), "a").join(side.toDF("b", "n2", "sig2", "id2"), "b").filter(_fits(percent))
-
-        def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in ("sig1", "sig2"))
-                differ = np.bitwise_count(x ^ y).sum(1, dtype=np.int64)
-                n = batch.column("n1").to_numpy() + batch.column("n2").to_numpy()
-                # at the threshold |x - y| + |y - x| = (n1 + n2) (1 - t) / (1 + t)
-                yield batch.select(["a", "b", "id1", "id2"]).filter(pa.array(differ * (100 + percent) <= n * (100 - percent)))
-
-        likely = work.save(named.mapInArrow(near, "a long, b long, id1 long, id2 long"), f"pairs-{self.runs}")
-        wanted = likely.select(F.col("a").alias("node"), F.col("id1").alias("id")).unionByName(likely.select(F.col("b").alias("node"), F.col("id2").alias("id"))).distinct()
-        sets = _full_sets(self.source, wanted, self.width, work, f"sets-{self.runs}")
-        both = likely.select("a", "b").join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
-
-        def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                xs, ys, good = batch.column("x"), batch.column("y"), []
-                for k in range(batch.num_rows):
-                    x, y = (np.asarray(c[k].values.to_numpy()).view(np.uint64) for c in (xs, ys))
-                    shared = len(np.intersect1d(x, y, assume_unique=True))
-                    good.append(100 * shared >= percent * (len(x) + len(y) - shared))
-                yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
-
-        out = work.save(both.mapInArrow(exact, "a long, b long").distinct(), f"links-{self.runs}")
-        work.drop(f"sets-{self.runs}", f"pairs-{self.runs}")
-        return out
-
-
-def _lacks(low: np.ndarray, n: int, often: np.ndarray, percent: int) -> bool:
-    """Whether the low tokens have too few rare ones to fill the prefix, and aren't the whole set."""
-    return len(low) < n and int((~often).sum()) < prefix_length(n, percent)
-
-
-def _leader_keys(reps: DataFrame, joined: np.ndarray, percent: int, frequent: np.ndarray | None = None) -> DataFrame:
-    """(key) of the prefixes of all nodes but those that ``joined``, a bitmap, holds.
-
-    Prefixes are hash-ordered; with ``frequent`` they hold the rare tokens that come first then.
-    """
-    sc = reps.sparkSession.sparkContext
-    shared, often = sc.broadcast(joined), sc.broadcast(frequent)
+            signs = np.stack([_signature(s) for s in sets]) if sets else np.zeros((0, 8), np.int64)
+            cols = {"sid": pa.array([_name(s) for s in sets], pa.int64()), "n": pa.array([len(s) for s in sets], pa.int64()), "tokens": pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))}
+            yield pa.RecordBatch.from_pydict(cols | {c: pa.array(np.ascontiguousarray(signs[:, k])) for k, c in enumerate(_SIGN)})
+
+    signs = ", ".join(f"{c} long" for c in _SIGN)
+    texts = source.join(small(wanted.select("id").distinct()), "id", "left_semi").select("text")
+    found = texts.mapInArrow(run, f"sid long, n long, tokens array<long>, {signs}")
+    once = found.join(small(wanted.select("sid")), "sid", "left_semi").groupBy("sid").agg(*[F.first(c).alias(c) for c in ("n", "tokens", *_SIGN)])
+    return work.save(once, "sets")
+
+
+def _combinations(tokens: np.ndarray, size: np.ndarray, groups: int, losses: int) -> np.ndarray:
+    """Keys of the extended prefix of ordered tokens that combine by ``size``, for pairs with so many groups."""
+    size = size if groups else np.ones_like(size)
+    g = max(groups, 1)
+    group = np.where(size == 1, 0, size * g + (tokens >> np.uint64(40)).astype(np.int64) % g)
+    order = np.argsort(group, kind="stable")
+    starts = np.flatnonzero(np.diff(group[order], prepend=-1))
+    nth = np.empty(len(tokens), np.int64)  # place of a token in its group
+    nth[order] = np.arange(len(tokens)) - np.repeat(starts, np.diff(starts, append=len(tokens)))
+    kept = np.cumsum(nth + 1 >= size)
+    p = int(np.searchsorted(kept, losses + 1)) + 1
+    tokens, size, group = tokens[:p], size[:p], group[:p]
+    salt = np.uint64(groups + 1)
+    keys = [mix(tokens[size == 1] * _MULT + salt)]
+    members: dict[int, list[int]] = {}
+    for k in np.flatnonzero(size > 1).tolist():
+        members.setdefault(int(group[k]), []).append(k)
+    for k in (2, 3):
+        at = np.array([c for own in members.values() if size[own[0]] == k for c in itertools.combinations(own, k)], np.int64).reshape(-1, k)
+        h = np.full(len(at), salt)
+        for j in range(k):
+            h = mix(h * _MULT + tokens[at[:, j]])
+        keys.append(h)
+    return np.unique(np.concatenate(keys))
+
+
+def _index(sets: DataFrame, percent: int, work: Workspace) -> DataFrame:
+    """(key, sid, c): the keys of every candidate's extended prefix that another shares, with their classes."""
+    tokens = sets.select("sid", "n", F.explode("tokens").alias("token"))
+    often = work.save(tokens.groupBy("token").agg(F.count("*").alias("c")).filter("c > 1"), "often")
+    core = tokens.join(often, "token").groupBy("sid", "n").agg(F.collect_list(F.struct("c", "token")).alias("core"))  # a set's tokens at most
+    rare, very = FREQUENT, VERY_FREQUENT
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            batch = batch.filter(pa.array(~_has(shared.value, batch.column("node").to_numpy())))
-            low, keys = batch.column("low"), []
-            for k, n in enumerate(batch.column("n").to_pylist()):
-                s = low[k].values.to_numpy()
-                s = s if often.value is None else s[~_has(often.value, s)]
-                keys.append(s[: prefix_length(n, percent)])
+            core, sids, keys = batch.column("core"), [], []
+            for k, (sid, n) in enumerate(zip(batch.column("sid").to_pylist(), batch.column("n").to_pylist(), strict=True)):
+                own = core[k].values
+                c, t = own.field("c").to_numpy(), own.field("token").to_numpy().view(np.uint64)
+                keep = least_shared(n, percent)
+                if len(t) < keep:
+                    continue
+                order = np.lexsort((t, c))
+                c, t = c[order], t[order]
+                size = 1 + (c > rare).astype(np.int64) + (c > very)
+                for g in _groups_between(keep, n, percent):
+                    own_keys = _combinations(t, size, g, len(t) - keep)
+                    keys.append(own_keys.view(np.int64))
+                    sids.append(np.full(len(own_keys), sid, np.int64))
             if keys:
-                yield pa.RecordBatch.from_pydict({"key": pa.array(np.concatenate(keys))})
+                yield pa.RecordBatch.from_pydict({"key": pa.array(np.concatenate(keys)), "sid": pa.array(np.concatenate(sids))})
 
-    return reps.select("node", "n", "low").mapInArrow(run, "key long")
+    index = work.save(core.mapInArrow(run, "key long, sid long"), "index")
+    many = index.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1")
+    out = work.save(index.join(many, "key"), "lists")
+    work.drop("often", "index")
+    return out
 
 
-def _index(reps: DataFrame, joined: np.ndarray, frequent: np.ndarray, percent: int, whole: bool = False) -> DataFrame:
-    """(key, node, n, sure): rare tokens alone and frequent ones by twos, of each extended prefix.
+def _groups_between(low: int, high: int, percent: int) -> list[int]:
+    """The numbers of groups for sizes from ``low`` to ``high``; they only grow with the size."""
+    a, b = groups_of(low, percent), groups_of(high, percent)
+    return [0] * (not a) + [g for k in range(b.bit_length()) if (g := 1 << k) >= max(a, 1)]
 
-    Nodes whose low tokens don't suffice are left out, unless these are ``whole``
-    sets.  Keys that aren't ``sure`` are among those that _leader_keys gives.
-    """
-    sc = reps.sparkSession.sparkContext
-    shared, members = sc.broadcast(frequent), sc.broadcast(joined)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys, nodes, sizes, sure = [], [], [], []
-            low, n = batch.column("low"), batch.column("n").to_pylist()
-            member = _has(members.value, batch.column("node").to_numpy()) if batch.num_rows else []
-            for k, node in enumerate(batch.column("node").to_pylist()):
-                s = low[k].values.to_numpy().view(np.uint64)
-                p, often = prefix_length(n[k], percent), _has(shared.value, s.view(np.int64))
-                if not whole and _lacks(s, n[k], often, percent):
-                    continue
-                rare = s[~often][:p]
-                few = s[often][: p - len(rare)]
-                i, j = np.triu_indices(len(few), 1)
-                twos = mix(few[i] * np.uint64(0x9E3779B97F4A7C15) + few[j]) if len(few) > 1 else few[:0]
-                keys += [rare.view(np.int64), twos.view(np.int64)]
-                nodes.append(np.full(len(rare) + len(twos), node, np.int64))
-                sizes.append(np.full(len(rare) + len(twos), n[k], np.int64))
-                sure += [np.ones(len(rare), bool) if whole or member[k] else rare > s[p - 1], np.ones(len(twos), bool)]
-            if keys:
-                yield pa.RecordBatch.from_pydict({"key": pa.array(np.concatenate(keys)), "node": pa.array(np.concatenate(nodes)), "n": pa.array(np.concatenate(sizes)), "sure": pa.array(np.concatenate(sure))})
+def _fits(a: str, b: str, percent: int) -> Column:
+    """Whether two rows' sizes and signatures allow the threshold."""
+    n1, n2 = F.col(f"{a}.n"), F.col(f"{b}.n")
+    # at the threshold |x - y| + |y - x| = (n1 + n2) (1 - t) / (1 + t)
+    return (100 * F.least(n1, n2) >= percent * F.greatest(n1, n2)) & (_differ(a, b) * (100 + percent) <= (n1 + n2) * (100 - percent))
 
-    return reps.select("node", "n", "low").mapInArrow(run, "key long, node long, n long, sure boolean")
 
+def _differ(a: str, b: str) -> Column:
+    return sum((F.bit_count(F.col(f"{a}.{s}").bitwiseXOR(F.col(f"{b}.{s}"))) for s in _SIGN), F.lit(0))
 
-def _lacking(reps: DataFrame, frequent: np.ndarray, percent: int) -> DataFrame:
-    """(node, id) that the index leaves out."""
-    shared = reps.sparkSession.sparkContext.broadcast(frequent)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int, work: Workspace, name: str) -> DataFrame:
+    """The pairs (a, b) of classes that reach the threshold, by their whole sets."""
+    one = sets.select("sid", "tokens")
+    both = pairs.select("a", "b").join(one.toDF("a", "x"), "a").join(one.toDF("b", "y"), "b")
+
+    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            low, bad = batch.column("low"), []
-            for k, n in enumerate(batch.column("n").to_pylist()):
-                s = low[k].values.to_numpy()
-                bad.append(_lacks(s, n, _has(shared.value, s), percent))
-            yield batch.select(["node", "id"]).filter(pa.array(bad, pa.bool_()))
+            xs, ys, good = batch.column("x"), batch.column("y"), []
+            for k in range(batch.num_rows):
+                x, y = (np.asarray(c[k].values.to_numpy()).view(np.uint64) for c in (xs, ys))
+                shared = len(np.intersect1d(x, y, assume_unique=True))
+                good.append(100 * shared >= percent * (len(x) + len(y) - shared))
+            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    return work.save(both.mapInArrow(exact, "a long, b long"), name)
+
+
+def _with_components(lists: DataFrame, nodes: DataFrame, groups: DataFrame | None) -> DataFrame:
+    """(key, c, r): the index with r, a row's class, size, signature and component."""
+    known = nodes.withColumn("component", F.col("sid"))
+    if groups is not None:
+        known = nodes.join(groups.withColumnRenamed("id", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
+    return lists.join(known, "sid").select("key", "c", F.struct("sid", "n", "component", *_SIGN).alias("r"))
+
+
+def _neighbours(rows: DataFrame, percent: int, turn: int) -> DataFrame:
+    """(a, b): for each class the likeliest of the classes beside it under its keys, in the order of a hash."""
+    beside = rows.withColumn("l", F.expr(f"lag(r) over (partition by key, pmod(xxhash64(r.sid, {-1 - turn}), ceil(c / {CELL})) order by xxhash64(r.sid, {turn}))"))
+    beside = beside.filter("l is not null and l.component <> r.component").filter(_fits("l", "r", percent))
+    pairs = beside.select(F.col("l.sid").alias("a"), F.col("r.sid").alias("b"), _differ("l", "r").alias("d")).distinct()
+    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "d"))
+    best = both.groupBy("a").agg(F.min(F.struct("d", "b")).alias("m")).select("a", F.col("m.b").alias("b"))
+    return best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _across(rows: DataFrame, percent: int) -> DataFrame:
+    """(a, b): every fitting pair of classes of different components that share a key, in cells of bounded size."""
+    each = rows.groupBy("key", F.col("r.component").alias("component")).agg(F.count("*").alias("m"))
+    sums = each.groupBy("key").agg(F.sum("m").alias("m"), F.max(F.struct("m", "component")).alias("top"), F.count("*").alias("k")).filter("k > 1")
+    sums = sums.select("key", F.ceil(F.col("m") / CELL).alias("wide"), F.ceil((F.col("m") - F.col("top.m")) / CELL).alias("high"), F.col("top.component").alias("top"))
+    known = rows.join(sums, "key")
+    row, col = F.pmod(F.xxhash64("r.sid"), F.col("high")), F.pmod(F.xxhash64("r.sid"), F.col("wide"))
+    x = known.filter("r.component <> top").select("key", row.alias("i"), F.explode(F.sequence(F.lit(0), F.col("wide").cast("int") - 1)).alias("j"), F.col("r").alias("x"), F.col("top").alias("t"))
+    y = known.select("key", F.explode(F.sequence(F.lit(0), F.col("high").cast("int") - 1)).alias("i"), col.alias("j"), F.col("r").alias("y"))
+    x, y = x.withColumn("i", F.col("i").cast("int")), y.withColumn("j", F.col("j").cast("int"))
+    # two members outside the largest component meet twice; they count once
+    once = (F.col("y.component") == F.col("t")) | (F.col("x.sid") < F.col("y.sid"))
+    on = (F.col("x.component") != F.col("y.component")) & once & _fits("x", "y", percent)
+    met = x.join(y, ["key", "i", "j"]).filter(on).select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b"))
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _classes(docs: DataFrame, width: int, percent: int, id_col: str, text_col: str, work: Workspace) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(id, sid, n) of all rows, (sid, least) of all classes, and the whole sets of those that may link."""
+    need(docs, id_col, text_col)
+    source = _source(docs, id_col, text_col)
+    rows = work.save(_scan(source, width, percent), "rows")
+    slim = work.save(rows.select("id", "sid", "n"), "slim")
+    grouped = rows.filter("sid is not null").groupBy("sid").agg(F.min("id").alias("least"), F.first("n").alias("n"), F.first("low").alias("low"))
+    classes = work.save(grouped, "classes")
+    work.drop("rows")
+    wanted = _candidates(classes, percent, work)
+    least = work.save(classes.select("sid", "least"), "least")
+    work.drop("classes")
+    sets = _whole_sets(source, wanted, width, work)
+    work.drop("candidates")
+    return slim, least, sets
 
-    return reps.filter(F.size("low") < F.col("n")).select("node", "id", "n", "low").mapInArrow(run, "node long, id long")
+
+def jaccard_links(docs: DataFrame, *, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(a, b), a < b: every pair of classes that link, each named by its least id; copies are not expanded."""
+    work = Workspace(docs.sparkSession, "jaccard_links")
+    _, least, sets = _classes(docs, width, percent, id_col, text_col, work)
+    rows = _with_components(_index(sets, percent, work), sets.select("sid", "n", *_SIGN), None)
+    found = _verified(work.save(_across(rows, percent), "pairs"), sets, percent, work, "links")
+    named = found.join(least.toDF("a", "x"), "a").join(least.toDF("b", "y"), "b")
+    return named.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).filter("a < b").distinct()
 
 
 def jaccard_components(docs: DataFrame, *, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id_col, n_shingles, component_id (the least id reached by links, its own included)."""
-    need(docs, id_col, text_col)
-    spark = docs.sparkSession
-    work = Workspace(spark, "jaccard_join")
-    source = _source(docs, id_col, text_col)
-    rows = work.save(_scan(source, width, percent), "rows")
-    slim = work.save(rows.select("id", "node", "n"), "slim")
-    first = rows.filter("node is not null").groupBy("node").agg(F.min("id").alias("least"))
-    reps = rows.join(first, "node").filter("id = least").dropDuplicates(["node"])
-    reps = work.save(reps.select("node", "id", "n", "sig", "s1", "s2", "combos", "low"), "reps")
-    work.drop("rows")
-    verifier = _Verifier(source, reps, width, percent, work)
-
-    # documents of several texts: their classes reach each other
-    same_id = slim.filter("node is not null").groupBy("id").agg(F.min("node").alias("a"), F.max("node").alias("z")).filter("a <> z").select("id", "a")
-    tied = slim.filter("node is not null").join(same_id, "id").filter("node <> a").select("a", F.col("node").alias("b"))
-
-    combos = reps.select("node", F.explode("combos").alias("key"))
-    head = combos.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("z")).filter("a <> z").select("key", "a")
-    near = combos.join(head, "key").filter("node <> a").select("a", F.col("node").alias("b")).distinct()
-    links = verifier.links(near).unionByName(tied)
-    groups = work.save(components(links, work, "first"), "groups")
-
-    # one class of each group leads; the bitmap may hold a few leaders too, whose keys are then all kept
-    joined = _bitmap(groups.filter("id <> component").select(F.col("id").alias("v")))
-    counted = work.save(_leader_keys(reps, joined, percent).groupBy("key").agg(F.count("*").alias("m")).filter("m > 1"), "counted")
-    frequent = _bitmap(counted.filter(F.col("m") > FREQUENT).select(F.col("key").alias("v")))
-    for _ in range(ROUNDS):
-        m = _leader_keys(reps, joined, percent, frequent).groupBy("key").agg(F.count("*").alias("m"))
-        more = frequent | _bitmap(m.filter(F.col("m") * (F.col("m") - 1) > 2 * LONG_LIST).select(F.col("key").alias("v")))
-        if (more == frequent).all():
-            break
-        frequent = more
-    named = groups.withColumnRenamed("id", "node")
-    for k in range(ROUNDS):
-        lacking = work.save(_lacking(reps, frequent, percent), f"lacking-{k}")
-        sets = _full_sets(source, lacking, width, work, f"whole-{k}").dropDuplicates(["node"])
-        sets = sets.select("node", F.size("tokens").cast("long").alias("n"), F.col("tokens").alias("low"))
-        index = work.save(_index(reps, joined, frequent, percent).unionByName(_index(sets, joined, frequent, percent, whole=True)), f"index-{k}")
-        keys = counted.select("key").unionByName(index.filter("sure").select("key")).distinct()
-        shared = index.select("key", "node", "n").join(keys, "key", "left_semi")
-        shared = work.save(shared.join(named, "node", "left").withColumn("component", F.coalesce("component", "node")), f"shared-{k}")
-        work.drop(f"index-{k}", f"whole-{k}", f"lacking-{k}")
-        each = shared.groupBy("key", "component").agg(F.count("*").cast("double").alias("c")).groupBy("key")
-        many = each.agg(F.count("*").alias("groups"), ((F.pow(F.sum("c"), 2) - F.sum(F.col("c") * F.col("c"))) / 2).alias("pairs"))
-        lists = work.save(shared.join(many.filter("groups > 1"), "key"), f"lists-{k}")
-        work.drop(f"shared-{k}")
-        long_lists = lists.filter(F.col("pairs") > LONG_LIST).select(F.col("key").alias("v")).distinct()
-        more = frequent | _bitmap(long_lists)
-        if k == ROUNDS - 1 or (more == frequent).all():
+    work = Workspace(docs.sparkSession, "jaccard_join")
+    slim, least, sets = _classes(docs, width, percent, id_col, text_col, work)
+    nodes = work.save(sets.select("sid", "n", *_SIGN), "nodes")
+    lists = _index(sets, percent, work)
+
+    groups = None
+    for turn in range(ROUNDS):
+        pairs = work.save(_neighbours(_with_components(lists, nodes, groups), percent, turn), f"pairs-{turn}")
+        found = _verified(pairs, sets, percent, work, f"links-{turn}")
+        work.drop(f"pairs-{turn}")
+        if found.isEmpty():
             break
-        frequent = more
-        work.drop(f"lists-{k}")
-    work.drop("counted")
-    signed = work.save(lists.select("key", "node", "n", "component").join(reps.select("node", "s1", "s2"), "node"), "signed")
-    work.drop(f"lists-{k}")
-    x = signed.toDF("a", "key", "n1", "c1", "s1", "s2")
-    y = signed.toDF("b", "key", "n2", "c2", "t1", "t2")
-    differ = F.bit_count(F.col("s1").bitwiseXOR(F.col("t1"))) + F.bit_count(F.col("s2").bitwiseXOR(F.col("t2")))
-    near = differ * (100 + percent) <= (F.col("n1") + F.col("n2")) * (100 - percent)
-    candidates = x.join(y, "key").filter("a < b and c1 <> c2").filter(_fits(percent)).filter(near).select("a", "b").distinct()
-    found = verifier.links(candidates)
-
-    edges = groups.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(found)
-    final = components(edges, work, "last").withColumnRenamed("id", "node")
-    named = slim.join(final, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    least = named.filter("component is not null").groupBy("component").agg(F.min("id").alias("least"))
-    out = named.join(least, "component", "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("least", "id").alias("component_id"))
+        if groups is not None:
+            found = found.unionByName(groups.select(F.col("id").alias("a"), F.col("component").alias("b")))
+        groups = work.save(components(found, work, f"cc-{turn}"), f"groups-{turn}")
+        work.drop(f"links-{turn}", *([f"groups-{turn - 1}"] if turn else []))
+    pairs = work.save(_across(_with_components(lists, nodes, groups), percent), "rest")
+    work.drop("lists", "nodes")
+    links = _verified(pairs, sets, percent, work, "links")
+    work.drop("sets", "rest")
+    if groups is not None:
+        links = links.unionByName(groups.select(F.col("id").alias("a"), F.col("component").alias("b")))
+
+    # in ids: classes by their least one, and the classes of one document reach each other
+    named = links.join(least.toDF("a", "x"), "a").join(least.toDF("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    with_least = slim.join(least, "sid", "left")
+    several = slim.filter("sid is not null").groupBy("id").agg(F.min("sid").alias("p"), F.max("sid").alias("q")).filter("p <> q").select("id")
+    tied = with_least.join(several, "id").select(F.col("id").alias("a"), F.col("least").alias("b")).filter("b is not null")
+    final = components(named.unionByName(tied), work, "last")
+    out = with_least.join(final.toDF("least", "component"), "least", "left")
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "least", "id").alias("component_id"))
 
 
 def keep_first(docs: DataFrame, **options) -> DataFrame:

@@ -6,8 +6,11 @@ import functools
 
 import numpy as np
 
+_BLANK = b" \t\n\x0b\x0c\r"
 _SPACE = np.zeros(256, bool)
-_SPACE[[32, 9, 10, 11, 12, 13]] = True
+_SPACE[list(_BLANK)] = True
+#: Bytes of text that are hashed at once, up to the end of a word.
+PIECE = 1 << 21
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 #: A fixed random value for each byte, A-Z as a-z.
@@ -30,7 +33,23 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def word_hashes(text: bytes) -> np.ndarray:
-    """A 64-bit hash of each word, the parts between ASCII white space; A-Z count as a-z."""
+    """A 64-bit hash of each word, the parts between ASCII white space; A-Z count as a-z.
+
+    Long texts are taken in pieces that end in white space or with the text.
+    """
+    if len(text) <= PIECE:
+        return _piece_hashes(text)
+    out, at = [], 0
+    while at < len(text):
+        cut = at + PIECE
+        while cut < len(text) and text[cut] not in _BLANK:
+            cut += 1
+        out.append(_piece_hashes(text[at:cut]))
+        at = cut
+    return np.concatenate(out)
+
+
+def _piece_hashes(text: bytes) -> np.ndarray:
     b = np.frombuffer(text, np.uint8)
     if not len(b):
         return np.empty(0, np.uint64)

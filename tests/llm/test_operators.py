@@ -187,18 +187,62 @@ def test_jaccard_join(spark, texts, width, percent):
         sets[i] = {tuple(w[j : j + k]) for j in range(len(w) - k + 1)} if w else set()
     pairs = [(a, b) for a in sets for b in sets if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])]
     want = groups(pairs, sets)
-    old = jj.FREQUENT, jj.LONG_LIST, jj.WHOLE
-    for frequent, long_list, whole in (old, (1, 3, 2)):
-        jj.FREQUENT, jj.LONG_LIST, jj.WHOLE = frequent, long_list, whole
+    distinct = {}
+    for i in sorted(sets):
+        distinct.setdefault(frozenset(sets[i]), i)
+    least = set(distinct.values())
+    old = jj.FREQUENT, jj.VERY_FREQUENT, jj.CELL
+    for frequent, very, cell in (old, (2, 9, 4), (0, 0, 5)):
+        jj.FREQUENT, jj.VERY_FREQUENT, jj.CELL = frequent, very, cell
         try:
             df = spark.createDataFrame([(i, t, "c") for i, t in enumerate(many)], "doc_id long, text string, component string").repartition(3)
             got = {r.doc_id: r for r in jj.jaccard_components(df, width=width, percent=percent).collect()}
+            links = {(r.a, r.b) for r in jj.jaccard_links(df, width=width, percent=percent).collect()}
         finally:
-            jj.FREQUENT, jj.LONG_LIST, jj.WHOLE = old
+            jj.FREQUENT, jj.VERY_FREQUENT, jj.CELL = old
+        assert links == {p for p in pairs if least.issuperset(p)}
         assert {i: r.n_shingles for i, r in got.items()} == {i: len(s) for i, s in sets.items()}
         assert {i: r.component_id for i, r in got.items()} == want
 
 
+def test_combinations_reach_every_pair():
+    """Any two sets that link share a key, whatever the counts of their tokens and the number of groups."""
+    from isoweave.llm.jaccard_join import _combinations, _groups_between, groups_of, least_shared
+
+    rng = np.random.default_rng(7)
+    for percent in (60, 80, 90):
+        for n in (1, 2, 3, 4, 5, 7, 12, 40, 100, 700):
+            universe = np.sort(rng.choice(1 << 62, 2 * n + 3, replace=False).astype(np.uint64))
+            size = rng.integers(1, 4, len(universe))
+            order = np.lexsort((universe, size))
+            for _ in range(20):
+                x = rng.choice(len(universe), n, replace=False)
+                m = int(rng.integers(least_shared(n, percent), n + 1))
+                shared = -(-percent * (n + m) // (100 + percent))
+                if shared > m:
+                    continue
+                rest = np.setdiff1d(np.arange(len(universe)), x)
+                y = np.concatenate((rng.choice(x, shared, replace=False), rng.choice(rest, m - shared, replace=False)))
+                keys = []
+                for own in (x, y):
+                    at = order[np.isin(order, own)]
+                    keep = least_shared(len(own), percent)
+                    assert groups_of(m, percent) in _groups_between(least_shared(n, percent), n, percent)
+                    keys.append(_combinations(universe[at], size[at], groups_of(m, percent), len(own) - keep))
+                assert len(np.intersect1d(*keys)) > 0
+
+
+def test_long_texts_hash_in_pieces():
+    from isoweave.llm import shingle_sets
+
+    text = (" ".join(f"wörd{i * i}" for i in range(3000)) + " \n" + "x" * 400 + " End").encode()
+    want, old = shingle_sets.word_hashes(text), shingle_sets.PIECE
+    for shingle_sets.PIECE in (1, 7, 100, 5000):
+        assert (shingle_sets.word_hashes(text) == want).all()
+    shingle_sets.PIECE = old
+    assert len(want) == 3002
+
+
 def test_jaccard_odd_rows(docs, empty):
     from isoweave.llm.jaccard_join import jaccard_components, keep_first
 

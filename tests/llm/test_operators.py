@@ -430,12 +430,14 @@ def test_class_lm_classes_come_from_contexts(spark):
     for local in (old, 100):
         class_lm.LOCAL_WORDS = local
         try:
-            model, got, words = class_lm.fit(df, Workspace(spark, "t"), held_out="false", classes=5, frequent=3, passes=2, id_col="doc_id", text_col="text")
+            model, _, found, of_local, words = class_lm.fit(df, Workspace(spark, "t"), held_out="false", classes=5, frequent=3, id_col="doc_id", text_col="text")
         finally:
             class_lm.LOCAL_WORDS = old
-        cls = {w.decode(): int(c) for (w, _), c in zip(words, model.labels.of_local, strict=True)}
-        for r in got.collect():
-            cls |= {bytes(x.word).decode(): x.cls for x in r.rare}
+        cls = {w.decode(): int(c) for (w, _), c in zip(words, of_local, strict=True)}
+        counted = {bytes(r.word).decode(): r for r in found.collect()}
+        assert all(cls.get(w, r.cls) == r.cls and (r.place >= 0) == (w in cls) for w, r in counted.items())
+        assert {w: r.n for w, r in counted.items()} == {w: n for w, n in collections.Counter(x for _, t in rows for x in t.split()).items() if w in counted}
+        cls |= {w: r.cls for w, r in counted.items()}
         ca, cb = {cls[w] for w in a if w in cls}, {cls[w] for w in b if w in cls}
         assert len(ca) == len(cb) == 1 and ca != cb
         assert model.class_total.sum() == sum(len(t.split()) + 1 for _, t in rows) + 0.5 * (len(cls) + 5)

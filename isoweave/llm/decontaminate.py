@@ -6,18 +6,25 @@ if that is shorter) and a multiset of five-word shingles (an item of fewer
 words is one shingle).  The similarity of window and item is the weighted
 Jaccard index of those multisets: shared counts over united counts.
 
-A window that shares no shingle with an item has similarity 0, so windows are
-laid only where a shingle of the item occurs, at every start from which the
-window holds it.  Each window gets a fingerprint of ``BITS`` bits.  The
-fingerprints of the items are indexed by ``BLOCKS`` blocks of 8 bits: two
-fingerprints within ``RADIUS`` differ by at most RADIUS // BLOCKS bits in some
-block, so a table of all block values so close finds every item within the
-radius, with certainty.  Those within it are verified exactly.  At similarity
-0.8 about 19 of 128 bits differ with a deviation of 4, so a radius of 36 loses
-about one borderline window in 50,000, and it is the only loss.
-
-The benchmark is taken in blocks of about ``BLOCK_WORDS`` words, each of which
-is broadcast and scans all documents; its size is checked, not assumed.
+1. Where a window can match at all.  A similarity of 0.8 takes at least 0.8
+   times the item's shingles in common, so a window with fewer places whose
+   shingle stands in any item of the benchmark is passed over.  That filter
+   loses nothing and names no item.
+2. Each other window gets a SimHash of its words, ``BITS`` bits (words, since an
+   edited word changes five shingles, but one word).  The items' fingerprints
+   stand in ``BLOCKS`` hash tables, one per block of ``BLOCK_BITS`` bits: two
+   fingerprints within ``RADIUS`` differ by at most RADIUS // BLOCKS bits in some
+   block, so an item is kept under every value so close to its own, and one look
+   into each table finds all items within the radius, with certainty.  Of random
+   pairs of fingerprints 2.6 % meet in a table.
+3. Those within the radius are verified exactly.
+
+The radius is the only loss: where a tenth of a window's words differ, about 18
+bits do, with a deviation of 4, so one such window in a hundred lies beyond 27.
+
+The benchmark is taken in blocks of about ``BLOCK_WORDS`` words, an item counting
+``ITEM_WORDS`` more than it has, each of which is broadcast and scans all
+documents.  Items stay whole, so a longer one makes its block as long.
 
 Defined cases: null or empty documents and items match nothing; items of equal
 words are scanned as one and reported under each of their ids, a null id as
@@ -27,7 +34,8 @@ null; a row is scanned as often as it occurs; null ids are kept; extra columns a
 from __future__ import annotations
 
 import functools
-from collections import Counter, defaultdict
+import math
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,8 +47,11 @@ from pyspark.sql import functions as F
 from isoweave.llm.common import need
 
 SHINGLE, SIMILARITY = 5, 0.8
-BITS, RADIUS, BLOCKS = 128, 36, 16
-BLOCK_WORDS = 200_000
+BLOCKS, BLOCK_BITS, RADIUS = 7, 18, 27
+BITS = BLOCKS * BLOCK_BITS
+BLOCK_WORDS, ITEM_WORDS = 100_000, 40
+#: Windows that are fingerprinted at once.
+_WINDOWS = 8192
 _FILTER_BITS = 20
 _MULT = np.int64(-7046029254386353131)
 
@@ -58,40 +69,62 @@ def similarity(a: Counter, b: Counter) -> float:
     return shared / (a.total() + b.total() - shared) if shared else 0.0
 
 
-def _signs(shingle_texts: list[str]) -> np.ndarray:
-    """Per shingle BITS numbers, each -1 or 1, from its hash."""
-    raw = b"".join(xxhash.xxh3_128_digest(s) for s in shingle_texts)
-    bits = np.unpackbits(np.frombuffer(raw, np.uint8).reshape(-1, BITS // 8), axis=1)
+@functools.lru_cache(maxsize=1 << 16)
+def _digest(word: str) -> bytes:
+    return xxhash.xxh3_128_digest(word)
+
+
+def _signs(words: list[str]) -> np.ndarray:
+    """Per word BITS numbers, each -1 or 1, from its hash."""
+    raw = b"".join(map(_digest, words))
+    bits = np.unpackbits(np.frombuffer(raw, np.uint8).reshape(-1, 16), axis=1, count=BITS)
     return 2 * bits.astype(np.int32) - 1
 
 
 def fingerprints(signs: np.ndarray, count: int) -> np.ndarray:
-    """SimHash, as bytes, of each run of ``count`` shingles."""
+    """SimHash, as bytes, of each run of ``count`` words."""
     total = np.vstack((np.zeros((1, BITS), np.int32), np.cumsum(signs, axis=0, dtype=np.int32)))
     return np.packbits(total[count:] - total[:-count] > 0, axis=1)
 
 
 @functools.cache
-def _near_bytes(within: int) -> np.ndarray:
-    """Which byte values are within so many bits of each other."""
-    v = np.arange(256)
-    return np.bitwise_count((v[:, None] ^ v[None, :]).astype(np.uint8)) <= within
+def _near_values(within: int) -> np.ndarray:
+    """The values of a block that differ from 0 in so many bits at most."""
+    v = np.arange(1 << BLOCK_BITS)
+    return v[np.bitwise_count(v) <= within]
+
+
+def _blocks(prints: np.ndarray) -> np.ndarray:
+    """The value of each block, shape (prints, BLOCKS)."""
+    bits = np.unpackbits(prints, axis=1, count=BITS).reshape(len(prints), BLOCKS, BLOCK_BITS)
+    return bits @ (1 << np.arange(BLOCK_BITS))
 
 
 class HammingIndex:
-    """Items' fingerprints under a multi-index of byte blocks."""
+    """Items' fingerprints under a multi-index: per block a table from its values to the items so close."""
 
     def __init__(self, prints: np.ndarray, radius: int = RADIUS):
-        self.prints, self.radius = prints, radius
-        near = _near_bytes(radius // BLOCKS)
-        self.tables = np.stack([near[:, prints[:, b]] for b in range(BLOCKS)])  # block, value, item
+        self.prints, self.radius, self.tables = prints, radius, []
+        near = _near_values(radius // BLOCKS)
+        for values in _blocks(prints).T:
+            keys = (values[:, None] ^ near).ravel().astype(np.int32)
+            items = (np.argsort(keys, kind="stable") // len(near)).astype(np.int32)
+            starts = np.concatenate(([0], np.cumsum(np.bincount(keys, minlength=1 << BLOCK_BITS))))
+            self.tables.append((starts, items))
+
+    def met(self, query: np.ndarray) -> np.ndarray:
+        """query * items + item of every pair that meets in a table, each once."""
+        found = []
+        for values, (starts, items) in zip(_blocks(query).T, self.tables, strict=True):
+            first, many = starts[values], starts[values + 1] - starts[values]
+            q = np.repeat(np.arange(len(query)), many)
+            at = np.arange(len(q)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(first, many)
+            found.append(q * len(self.prints) + items[at])
+        return np.unique(np.concatenate(found))
 
     def within(self, query: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(query, item) of every pair within the radius."""
-        found = np.zeros((len(query), len(self.prints)), bool)
-        for b in range(BLOCKS):
-            found |= self.tables[b][query[:, b]]
-        q, i = np.nonzero(found)
+        q, i = np.divmod(self.met(query), len(self.prints))
         close = np.bitwise_count(query[q] ^ self.prints[i]).sum(1) <= self.radius
         return q[close], i[close]
 
@@ -111,57 +144,66 @@ class ItemBlock:
 
     def __init__(self, items: list[tuple[list[int | None], list[str]]]):
         self.items = items
-        self.width = [min(SHINGLE, len(w)) for _, w in items]
-        self.bags = [Counter(shingles(w, k)) for (_, w), k in zip(items, self.width, strict=True)]
-        self.by_size: dict[tuple[int, int], list[int]] = defaultdict(list)
-        self.holders: dict[int, dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
-        for i, ((_, w), k) in enumerate(zip(items, self.width, strict=True)):
-            self.by_size[k, len(w)].append(i)
-            for h in set(_rolled(self.hashes(w), k).tolist()):
-                self.holders[k][h].append(i)
-        self.index = {}
-        for size, own in self.by_size.items():
-            prints = np.vstack([fingerprints(_signs(shingles(items[i][1], size[0])), size[1] - size[0] + 1) for i in own])
-            self.index[size] = HammingIndex(prints)
+        self.width = np.array([min(SHINGLE, len(w)) for _, w in items])
+        self.size = np.array([len(w) for _, w in items])
+        self.bags = [Counter(shingles(w, k)) for (_, w), k in zip(items, self.width.tolist(), strict=True)]
+        self.index = HammingIndex(np.vstack([fingerprints(_signs(w), len(w)) for _, w in items]))
+        self.shapes: dict[int, list[int]] = {}  # shingle width: sizes of the items that have it
+        self.held: dict[int, np.ndarray] = {}  # shingle width: sorted hashes of all their shingles
         self.filters = {}
-        for k, held in self.holders.items():
-            seen = np.zeros(1 << _FILTER_BITS, bool)
-            keys = np.array(list(held), np.int64)
-            seen[keys & ((1 << _FILTER_BITS) - 1)] = True
-            self.filters[k] = seen
+        for k in sorted(set(self.width.tolist())):
+            own = np.flatnonzero(self.width == k).tolist()
+            self.shapes[k] = sorted(set(self.size[own].tolist()))
+            self.held[k] = np.unique(np.concatenate([_rolled(self.hashes(items[i][1]), k) for i in own]))
+            self.filters[k] = np.zeros(1 << _FILTER_BITS, bool)
+            self.filters[k][self.held[k] & ((1 << _FILTER_BITS) - 1)] = True
 
     @staticmethod
     def hashes(words: list[str]) -> np.ndarray:
         return np.fromiter(map(hash, words), np.int64, len(words))
 
+    def _held_places(self, h: np.ndarray, k: int) -> np.ndarray:
+        """The places of a text where a shingle of any item stands."""
+        rolled = _rolled(h, k)
+        at = np.flatnonzero(self.filters[k][rolled & ((1 << _FILTER_BITS) - 1)])
+        place = np.searchsorted(self.held[k], rolled[at]) % len(self.held[k])
+        return at[self.held[k][place] == rolled[at]]
+
+    def _windows(self, h: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
+        """(shingle width, item size, starts) of all windows that may match."""
+        n = len(h)
+        for k, sizes in self.shapes.items():
+            at = self._held_places(h, k) if n >= k else ()
+            if not len(at):
+                continue
+            for size in sizes:
+                least = math.ceil(SIMILARITY * (size - k + 1) - 1e-9)
+                places = min(size, n) - k + 1
+                if len(at) < least or places < least:
+                    continue
+                lo, hi = max(0, int(at[0]) - places + 1), min(int(at[-1]), n - k + 1 - places)
+                hit = np.zeros(hi + places - lo + 1, np.int32)
+                hit[at[(at >= lo) & (at < hi + places)] - lo + 1] = 1
+                total = np.cumsum(hit)
+                found = lo + np.flatnonzero(total[places:] - total[:-places] >= least)
+                if len(found):
+                    yield k, size, found
+
     def matches(self, text: str | None) -> list[tuple[list[int | None], float, int]]:
         """(item ids, similarity, first word) of the best window for each item that reaches SIMILARITY."""
         words = words_of(text)
-        if not words:
-            return []
-        h, starts = self.hashes(words), defaultdict(set)
-        for k, held in self.holders.items():
-            if len(words) < k:
-                continue
-            rolled = _rolled(h, k)
-            for p in np.flatnonzero(self.filters[k][rolled & ((1 << _FILTER_BITS) - 1)]).tolist():
-                for i in held.get(int(rolled[p]), ()):
-                    size = len(self.items[i][1])
-                    last = max(0, len(words) - size)
-                    starts[k, size].update(range(min(last, max(0, p - size + k)), min(p, last) + 1))
         best: dict[int, tuple[float, int]] = {}
-        for (k, size), found in starts.items():
-            own = self.by_size[k, size]
-            at = np.array(sorted(found))
+        for k, size, at in self._windows(self.hashes(words)):
+            count = min(size, len(words))
             for run in np.split(at, np.flatnonzero(np.diff(at) > 1) + 1):
-                first, last = int(run[0]), min(int(run[-1]) + size, len(words))
-                part = words[first:last]
-                told = shingles(part, k)
-                count = min(size, len(part)) - k + 1
-                for q, i in zip(*self.index[k, size].within(fingerprints(_signs(told), count)), strict=True):
-                    value = similarity(Counter(told[q : q + count]), self.bags[own[i]])
-                    if value >= SIMILARITY and value > best.get(own[i], (0.0, 0))[0]:
-                        best[own[i]] = (value, first + int(q))
+                for a in range(0, len(run), _WINDOWS):
+                    first, last = int(run[a]), int(run[min(a + _WINDOWS, len(run)) - 1]) + count
+                    for q, i in zip(*self.index.within(fingerprints(_signs(words[first:last]), count)), strict=True):
+                        if self.size[i] == size:
+                            start = first + int(q)
+                            value = similarity(Counter(shingles(words[start : start + count], k)), self.bags[i])
+                            if value >= SIMILARITY and value > best.get(int(i), (0.0, 0))[0]:
+                                best[int(i)] = (value, start)
         return [(self.items[i][0], value, start) for i, (value, start) in sorted(best.items())]
 
 
@@ -194,7 +236,7 @@ def item_blocks(benchmark: DataFrame, item_col: str, item_text_col: str, block_w
     words = F.filter(F.split(F.lower(F.col(item_text_col).cast("string")), r"\s+"), lambda w: w != "")
     items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.array_join(words, " ").alias("text"), F.size(words).cast("long").alias("n"))
     items = items.filter("n > 0")
-    total = items.agg(F.sum("n")).first()[0] or 0
+    total = items.agg(F.sum(F.col("n") + ITEM_WORDS)).first()[0] or 0
     n_blocks = -(-total // block_words)
     for b in range(n_blocks):
         by_words: dict[tuple[str, ...], set[int | None]] = {}

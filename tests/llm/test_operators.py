@@ -8,6 +8,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -496,3 +497,56 @@ def test_decontamination_keeps_null_and_equal_items(spark):
     got = sorted(((r.doc_id, r.item_id) for r in find_contamination(df, bench).collect()), key=str)
     assert got == [(1, None), (2, 3), (2, 5)]
     assert [r.doc_id for r in decontaminate(df, bench).collect()] == [3]
+
+
+def test_hamming_tables_pass_few_random_pairs():
+    from isoweave.llm.decontaminate import HammingIndex
+
+    rng = np.random.default_rng(8)
+    prints, query = (rng.integers(0, 256, (n, 16), dtype=np.uint8) for n in (400, 1000))
+    share = len(HammingIndex(prints).met(query)) / 400_000
+    assert 0.02 < share < 0.03
+
+
+def test_decontamination_recall_of_edited_passages():
+    from isoweave.llm.decontaminate import ItemBlock, shingles, similarity
+
+    rng = random.Random(21)
+    common = [f"w{k}" for k in range(400)]
+    items = [[rng.choice(common) for _ in range(rng.randint(15, 60))] for _ in range(300)]
+    block = ItemBlock([([i], w) for i, w in enumerate(items)])
+    want = found = 0
+    for _ in range(1500):
+        i = rng.randrange(len(items))
+        w = list(items[i])
+        cut = rng.randint(0, len(w) // 8)
+        w = w[cut:] if rng.random() < 0.5 else w[: len(w) - cut]
+        for _ in range(rng.randint(0, 2)):
+            w[rng.choice((0, 1, -1, -2, rng.randrange(len(w))))] = rng.choice(common)
+        words = [*(rng.choice(common) for _ in range(30)), *w, *(rng.choice(common) for _ in range(30))]
+        n = len(items[i])
+        bag = collections.Counter(shingles(items[i], 5))
+        if max(similarity(collections.Counter(shingles(words[a : a + n], 5)), bag) for a in range(len(words) - n + 1)) >= 0.8:
+            want += 1
+            found += any(ids == [i] for ids, *_ in block.matches(" ".join(words)))
+    assert want > 500 and found >= 0.99 * want, (found, want)
+
+
+@pytest.mark.parametrize("dim", [64, 256, 768])
+def test_near_vectors_recall(spark, dim):
+    """20,480 vectors, a tenth of them planted pairs at cosines from just over the threshold."""
+    from isoweave.llm.near_vectors import near_vectors
+
+    rng = np.random.default_rng(dim)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    n, planted = 20_480 if dim == 64 else 4096, 1024
+    base = unit(rng.standard_normal((n - planted, dim)))
+    off = rng.standard_normal((planted, dim))
+    off = unit(off - (off * base[:planted]).sum(1, keepdims=True) * base[:planted])
+    cosine = np.repeat([0.931, 0.94, 0.96, 0.99], planted // 4)[:, None]
+    v = np.vstack((base, cosine * base[:planted] + np.sqrt(1 - cosine**2) * off))
+    table = pa.table({"vec_id": pa.array(range(n)), "embedding": pa.array(list(v), pa.list_(pa.float64())), "label": pa.array([0] * n)})
+    links = near_vectors(spark.createDataFrame(table)).filter("n_links > 0").select("vec_id", "component_id").collect()
+    found = {r.component_id for r in links if r.vec_id >= n - planted and r.component_id < planted}
+    assert len(found) >= 0.93 * planted, len(found) / planted
+    assert all(r.vec_id - (n - planted) == r.component_id for r in links if r.vec_id >= n - planted)

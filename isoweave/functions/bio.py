@@ -9,41 +9,30 @@ from pyspark.sql import functions as F
 CODONS = "KNKNTTTTRSRSIIMIQHQHPPPPRRRRLLLLEDEDAAAAGGGGVVVV*Y*YSSSS*CWCLFLF"
 AMINO = "ACDEFGHIKLMNPQRSTVWY"
 
-# Substitution scores, by row up to the diagonal, in the order of AMINO.
-LOWER = """
-A  4
-C  0  9
-D -2 -3  6
-E -1 -4  2  5
-F -2 -2 -3 -3  6
-G  0 -3 -1 -2 -3  6
-H -2 -3  1  0 -1 -2  8
-I -1 -1 -3 -3  0 -4 -3  4
-K -1 -3 -1  1 -3 -2 -1 -3  5
-L -1 -1 -4 -3  0 -4 -3  2 -2  4
-M -1 -1 -3 -2  0 -3 -2  1 -1  2  5
-N -2 -3  1  0 -3  0 -1 -3  0 -3 -2  6
-P -1 -3 -1 -1 -4 -2 -2 -3 -1 -3 -2 -1  7
-Q -1 -3  0  2 -3 -2  0 -3  1 -2  0  0 -1  5
-R -1 -3 -2  0 -3 -2  0 -3  2 -2 -1  0 -2  1  5
-S  1 -1  0  0 -2  0 -1 -2  0 -2 -1  1 -1  0 -1  4
-T -1 -1  1  0 -2  1  0 -2  0 -2 -1  0  1  0 -1  1  4
-V  0 -1 -3 -2 -1 -3 -3  3 -2  1  1 -3 -2 -2 -3 -2 -2  4
-W -3 -2 -4 -3  1 -2 -2 -3 -3 -2 -1 -4 -4 -2 -3 -3 -3 -3 11
-Y -2 -2 -3 -2  3 -3  2 -1 -2 -1 -1 -2 -3 -1 -2 -2 -2 -1  2  7
-"""
-# The table isn't symmetric; scores above the diagonal that differ from those below.
-UPPER = {"DH": -1, "AN": -1, "GN": -2, "HN": 1, "NP": -2, "AV": -2, "EV": -3, "GV": 0, "HV": -2, "IV": 1, "KV": -3, "LV": 3, "MV": -2}
-
-
-def score_table() -> list[list[int]]:
-    """Scores of all ordered pairs of AMINO; anything else scores 0."""
-    low = [[int(x) for x in line.split()[1:]] for line in LOWER.strip().splitlines()]
-    n = len(AMINO)
-    return [[low[i][j] if j <= i else UPPER.get(AMINO[i] + AMINO[j], low[j][i]) for j in range(n)] for i in range(n)]
-
-
-SCORES = score_table()
+# Substitution scores of all ordered pairs, rows and columns in the order of AMINO; anything else scores 0.
+# The table isn't symmetric.
+SCORES = [
+    [ 4,  0, -2, -1, -2,  0, -2, -1, -1, -1, -1, -1, -1, -1, -1,  1, -1, -2, -3, -2],  # A
+    [ 0,  9, -3, -4, -2, -3, -3, -1, -3, -1, -1, -3, -3, -3, -3, -1, -1, -1, -2, -2],  # C
+    [-2, -3,  6,  2, -3, -1, -1, -3, -1, -4, -3,  1, -1,  0, -2,  0,  1, -3, -4, -3],  # D
+    [-1, -4,  2,  5, -3, -2,  0, -3,  1, -3, -2,  0, -1,  2,  0,  0,  0, -3, -3, -2],  # E
+    [-2, -2, -3, -3,  6, -3, -1,  0, -3,  0,  0, -3, -4, -3, -3, -2, -2, -1,  1,  3],  # F
+    [ 0, -3, -1, -2, -3,  6, -2, -4, -2, -4, -3, -2, -2, -2, -2,  0,  1,  0, -2, -3],  # G
+    [-2, -3,  1,  0, -1, -2,  8, -3, -1, -3, -2,  1, -2,  0,  0, -1,  0, -2, -2,  2],  # H
+    [-1, -1, -3, -3,  0, -4, -3,  4, -3,  2,  1, -3, -3, -3, -3, -2, -2,  1, -3, -1],  # I
+    [-1, -3, -1,  1, -3, -2, -1, -3,  5, -2, -1,  0, -1,  1,  2,  0,  0, -3, -3, -2],  # K
+    [-1, -1, -4, -3,  0, -4, -3,  2, -2,  4,  2, -3, -3, -2, -2, -2, -2,  3, -2, -1],  # L
+    [-1, -1, -3, -2,  0, -3, -2,  1, -1,  2,  5, -2, -2,  0, -1, -1, -1, -2, -1, -1],  # M
+    [-2, -3,  1,  0, -3,  0, -1, -3,  0, -3, -2,  6, -2,  0,  0,  1,  0, -3, -4, -2],  # N
+    [-1, -3, -1, -1, -4, -2, -2, -3, -1, -3, -2, -1,  7, -1, -2, -1,  1, -2, -4, -3],  # P
+    [-1, -3,  0,  2, -3, -2,  0, -3,  1, -2,  0,  0, -1,  5,  1,  0,  0, -2, -2, -1],  # Q
+    [-1, -3, -2,  0, -3, -2,  0, -3,  2, -2, -1,  0, -2,  1,  5, -1, -1, -3, -3, -2],  # R
+    [ 1, -1,  0,  0, -2,  0, -1, -2,  0, -2, -1,  1, -1,  0, -1,  4,  1, -2, -3, -2],  # S
+    [-1, -1,  1,  0, -2,  1,  0, -2,  0, -2, -1,  0,  1,  0, -1,  1,  4, -2, -3, -2],  # T
+    [ 0, -1, -3, -2, -1, -3, -3,  3, -2,  1,  1, -3, -2, -2, -3, -2, -2,  4, -3, -1],  # V
+    [-3, -2, -4, -3,  1, -2, -2, -3, -3, -2, -1, -4, -4, -2, -3, -3, -3, -3, 11,  2],  # W
+    [-2, -2, -3, -2,  3, -3,  2, -1, -2, -1, -1, -2, -3, -1, -2, -2, -2, -1,  2,  7],  # Y
+]
 
 
 def letter_index(letters: str, c: Column) -> Column:

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from isoweave.functions.bio import AMINO, SCORES
 
@@ -153,9 +154,44 @@ def merge_families(seqs: DataFrame, key: str, order: str, seq_id: str, aligned:
     return seqs.select(key, order, seq_id, aligned).groupBy(key).applyInPandas(run, f"{key} {kinds[key]}, row_no long, {seq_id} {kinds[seq_id]}, aligned string")
 
 
+def merge_by_steps(seqs: DataFrame, steps: list[tuple[str, str]], key: str, member: str, seq_id: str, aligned: str, *, costs: GapCosts = GapCosts()) -> DataFrame:
+    """Per family one alignment of its members' alignments, merged pair by pair.
+
+    ``steps`` are (into, from) names of members; a name then stands for all that
+    was merged into it.  A member that a family lacks is passed over, so that what
+    was to join it keeps its own name's place.  Members that no step names join
+    at the end by name; a null member or alignment counts as an empty one.
+    Returns key, row_no, seq_id, aligned.
+    """
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values([member, seq_id])
+        held = {name: (g[seq_id].tolist(), framed(g[aligned].tolist())) for name, g in pdf.groupby(member, sort=True)}
+
+        def join(into: str, source: str) -> None:
+            if source not in held:
+                return
+            ids, rows = held.pop(source)
+            if into in held:
+                x, y, _ = align(held[into][1], rows, costs)
+                ids, rows = held[into][0] + ids, x + y
+            held[into] = (ids, rows)
+
+        for into, source in steps:
+            join(into, source)
+        first, *others = held
+        for name in sorted(others):
+            join(first, name)
+        ids, rows = held[first]
+        return pd.DataFrame({key: pdf[key].iloc[0], "row_no": np.arange(len(ids)), seq_id: ids, "aligned": finalize(rows)})
+
+    kinds = dict(seqs.dtypes)
+    known = seqs.select(key, *[F.coalesce(c, F.lit("")).alias(c) for c in (member, aligned)], seq_id)
+    return known.groupBy(key).applyInPandas(run, f"{key} {kinds[key]}, row_no long, {seq_id} {kinds[seq_id]}, aligned string")
+
+
 def pair_scores(pairs: DataFrame, a: str, b: str, out: str = "score", costs: GapCosts = GapCosts(unspliced=True)) -> DataFrame:
     """The alignment score of two sequences per row."""
-    from pyspark.sql import functions as F
 
     @F.pandas_udf("double")
     def score(x: pd.Series, y: pd.Series) -> pd.Series:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from isoweave.operators.align import GapCosts, merge_families
+from isoweave.operators.align import GapCosts, merge_by_steps, merge_families
 from isoweave.operators.mapping import canonical, exon_hits, with_misses
 from isoweave.operators.msa import compose
 from isoweave.operators.weave import codon_centres, weave
@@ -52,7 +52,10 @@ def align_species(mapped: DataFrame, misses: DataFrame, proteins: DataFrame) ->
     return merge_families(rows.unionByName(rest), "gene", "step", "seq_id", "aligned", final=False, costs=GapCosts(intron_base=0.0)).drop("row_no")
 
 
-def merge_species(alignments: DataFrame, order: list[str]) -> DataFrame:
-    """gene, row_no, seq_id, aligned: the species' alignments (species, gene, seq_id, aligned) merged in tree order."""
-    place = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for k, s in enumerate(order) for x in (s, k)]), F.col("species")), F.lit(len(order)))
-    return merge_families(alignments.withColumn("step", place), "gene", "step", "seq_id", "aligned")
+def merge_species(alignments: DataFrame, steps: list[tuple[str, str]]) -> DataFrame:
+    """gene, row_no, seq_id, aligned: the species' alignments (species, gene, seq_id, aligned) merged by the steps of a tree.
+
+    Each step merges one clade's alignment into another's within every gene;
+    species that no step names join at the end, in order of their names.
+    """
+    return merge_by_steps(alignments, steps, "gene", "species", "seq_id", "aligned")

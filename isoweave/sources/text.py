@@ -87,17 +87,46 @@ def read_guide(text: str) -> tuple[str | None, list[tuple[str, str, str | None]]
     return tree, rows
 
 
-def merge_order(tree: str | None, species: list[str]) -> list[str]:
-    """Species in the order in which they join the alignment: innermost pairs first, then those not in the tree, then Misc."""
-    found: list[str] = []
-    if tree:
-        if tree.count("(") != tree.count(")"):
-            raise ValueError("parentheses don't match")
-        depth, leaves = 0, []
-        for token in re.findall(r"[(),]|[^(),\s;:]+(?::[0-9.eE+-]+)?", tree):
-            if token in "()":
-                depth += 1 if token == "(" else -1
-            elif token != ",":
-                leaves.append((-depth, len(leaves), token.split(":")[0].strip("'\"").lower()))
-        found = [name for _, _, name in sorted(leaves) if name in species]
-    return [*found, *sorted(set(species) - set(found) - {"misc"}), "misc"]
+def _tree(text: str) -> list | str:
+    """A Newick tree as nested lists of lower-case leaf names."""
+    if text.count("(") != text.count(")"):
+        raise ValueError("parentheses don't match")
+    top: list = []
+    open_lists, closed = [top], False
+    for token in re.findall(r"[(),;]|[^(),;\s]+", text):
+        if token == "(":
+            open_lists[-1].append([])
+            open_lists.append(open_lists[-1][-1])
+        elif token == ")":
+            if len(open_lists) == 1:
+                raise ValueError("parentheses don't match")
+            open_lists.pop()
+        elif token not in ",;" and not closed:  # what follows a closed clade is its name or length
+            open_lists[-1].append(token.split(":")[0].strip("'\"").lower())
+        closed = token == ")"
+    return top
+
+
+def merge_steps(tree: str | None, species: list[str]) -> list[tuple[str, str]]:
+    """(into, from) pairs: the species alignments to merge, in an order in which each clade is whole before it joins another.
+
+    A merged clade goes by the name of its first species.  Species that the tree
+    doesn't name follow in order of their names, and ``misc`` is last.  Names in
+    the tree that aren't in ``species`` are passed over.
+    """
+    steps: list[tuple[str, str]] = []
+
+    def merged(names: list[str | None]) -> str | None:
+        held = [n for n in names if n is not None]
+        steps.extend((held[0], n) for n in held[1:])
+        return held[0] if held else None
+
+    def clade(node: list | str) -> str | None:
+        if isinstance(node, list):
+            return merged([clade(x) for x in node])
+        return node if node in species and node not in seen and not seen.add(node) else None
+
+    seen: set[str] = {"misc"}
+    root = clade(_tree(tree)) if tree else None
+    merged([root, *sorted(set(species) - seen), "misc"])
+    return steps

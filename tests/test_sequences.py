@@ -7,6 +7,7 @@ import pytest
 from isoweave.functions import bio
 from isoweave.operators.align import GapCosts, align
 from isoweave.plans import families
+from isoweave.plans.families import merge_species
 from isoweave.sources import text as sources
 from isoweave.streaming.catalog import residue_counts
 
@@ -101,9 +102,46 @@ def test_readers(spark, tmp_path):
     assert rows == {("g1", "chr1", 1, 100, 180), ("g1", "chr1", -1, 390, 300)}
     tree, guide = sources.read_guide("(((mouse,rat),human),dog)\nHuman g/human.fa g/human.gtf\ndog g/dog.fa -\n")
     assert guide == [("human", "g/human.fa", "g/human.gtf"), ("dog", "g/dog.fa", None)]
-    assert sources.merge_order(tree, ["mouse", "rat", "human", "dog", "cat"]) == ["mouse", "rat", "human", "dog", "cat", "misc"]
-    with pytest.raises(ValueError):
-        sources.merge_order("((a,b)", ["a", "b"])
+    want = [("mouse", "rat"), ("mouse", "human"), ("mouse", "dog"), ("mouse", "cat"), ("mouse", "misc")]
+    assert sources.merge_steps(tree, ["mouse", "rat", "human", "dog", "cat"]) == want
+    for wrong in ("((a,b)", "a)(b"):
+        with pytest.raises(ValueError):
+            sources.merge_steps(wrong, ["a", "b"])
+
+
+def test_merge_steps_follow_the_tree():
+    assert sources.merge_steps("((a,b),((c,d),e));", list("abcde")) == [("a", "b"), ("c", "d"), ("c", "e"), ("a", "c"), ("a", "misc")]
+    assert sources.merge_steps("((A:0.1,'b')x:2,(gone,c))", list("abc")) == [("a", "b"), ("a", "c"), ("a", "misc")]
+    assert sources.merge_steps(None, ["b", "a"]) == [("a", "b"), ("a", "misc")] and sources.merge_steps(None, []) == []
+    rng = random.Random(5)
+    for _ in range(200):
+        names = [f"s{k}" for k in range(rng.randint(2, 12))]
+        nodes, clades = [(n, frozenset([n])) for n in names], set()
+        while len(nodes) > 1:
+            x, y = (nodes.pop(rng.randrange(len(nodes))) for _ in range(2))
+            nodes.append((f"({x[0]},{y[0]})", x[1] | y[1]))
+            clades.add(nodes[-1][1])
+        held, made = {n: frozenset([n]) for n in [*names, "misc"]}, set()
+        for into, source in sources.merge_steps(nodes[0][0], names):
+            held[into] |= held.pop(source)
+            made.add(held[into])
+        assert made == clades | {frozenset([*names, "misc"])}
+
+
+def test_merge_species_by_clades(spark):
+    rows = [(s, "g", f"{s}{k}", q) for s, q in (("a", "MKTAYIAK"), ("b", "MKTAYIAK"), ("c", "MKTWYIAKQR"), ("d", "MKTWYIAKQR"), ("z", "MKTAYIAK")) for k in range(2)]
+    rows += [("c", "h", "c0", "MKL"), ("d", "h", "d0", "MKL"), ("b", "h", "b0", "ML"), ("z", "one", "z0", "MAA")]
+    df = spark.createDataFrame(rows, "species string, gene string, seq_id string, aligned string")
+    got = merge_species(df, sources.merge_steps("((a,b),(c,d))", list("abcd"))).collect()
+    assert sorted((r.gene, r.seq_id) for r in got) == sorted((g, i) for _, g, i, _ in rows)
+    own = {(g, i): q for _, g, i, q in rows}
+    for gene in ("g", "h", "one"):
+        mine = sorted((r for r in got if r.gene == gene), key=lambda r: r.row_no)
+        assert len({len(r.aligned) for r in mine}) == 1
+        assert all(r.aligned.replace("-", "") == own[gene, r.seq_id] for r in mine)
+        at = [r.seq_id[0] for r in mine]
+        assert at == sorted(at)
+    assert [r.seq_id for r in got if r.gene == "h" and r.row_no == 0] == ["b0"]
 
 
 def test_streamed_counts(spark, tmp_path):

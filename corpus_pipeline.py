@@ -29,11 +29,13 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = fit_toxicity(docs, _table(spark, sf_dir, "labels"))
-    return score_toxicity(docs, model).filter("not rejected").select(*docs.columns)
+    whole = docs.select(F.struct("*").alias("__row"), "text")
+    return score_toxicity(whole, model).filter("not rejected").select("__row.*")
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return dedup_lines(docs, counts=False).withColumn("n_chars", F.char_length("text").cast("long"))
+    out = dedup_lines(docs, counts=False)
+    return out.withColumn("n_chars", F.char_length("text").cast("long")) if "n_chars" in docs.columns else out
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

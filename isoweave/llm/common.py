@@ -18,19 +18,24 @@ _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or else the one of ``setCheckpointDir``.
 
-    Where the session leaves it unset (tests, a single machine) a temporary
-    folder is made once per application and removed when the process ends.
+    Where neither is set, on a single machine (tests) a temporary folder is made
+    once per application and removed when the process ends; on a cluster, whose
+    machines don't see each other's folders, that is an error.
     """
-    conf = spark.sparkContext.getConf()
-    if named := conf.get("spark.checkpoint.dir", None):
+    context = spark.sparkContext
+    if named := context.getConf().get("spark.checkpoint.dir", None):
         return named.rstrip("/")
-    app = spark.sparkContext.applicationId
+    app = context.applicationId
     if app not in _OWN_DIRS:
+        if named := context.getCheckpointDir():
+            return named.rstrip("/")
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         _OWN_DIRS[app] = tempfile.mkdtemp(prefix="isoweave-")
         atexit.register(shutil.rmtree, _OWN_DIRS[app], ignore_errors=True)
-        spark.sparkContext.setCheckpointDir(_OWN_DIRS[app])
+        context.setCheckpointDir(_OWN_DIRS[app])
     return "file://" + _OWN_DIRS[app]
 
 

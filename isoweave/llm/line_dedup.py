@@ -159,6 +159,6 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
         return pd.DataFrame({"text": kept_texts, "n_lines": n_lines, "n_dropped": n_dropped})
 
     done = joined.withColumn("__cut", cut(F.col(text_col).cast("binary"), F.col("__keys")))
-    cols = [F.col("__cut.text").alias(text_col) if c == text_col else F.col(c) for c in docs.columns if not (counts and c in ("n_lines", "n_dropped"))]
+    cols = [F.col("__cut.text").alias(text_col) if c == text_col else F.col(c) for c in docs.columns if not (counts and c.lower() in ("n_lines", "n_dropped"))]
     extra = [F.col("__cut.n_lines").alias("n_lines"), F.col("__cut.n_dropped").alias("n_dropped")] if counts else []
     return done.select(*cols, *extra)

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from isoweave.llm.common import need
+from isoweave.llm.common import Workspace, need
 from isoweave.llm.labelled import labelled_sample
 
 PER_CLASS, TERMS, COVER, GRADES = 4000, 2000, 3, 4
@@ -148,8 +148,11 @@ def fit_ordinal(x: list[tuple[np.ndarray, np.ndarray]], grade: np.ndarray, weigh
 def fit_toxicity(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", per_class: int = PER_CLASS, keep=None, id_col: str = "doc_id", text_col: str = "text") -> OrdinalModel:
     """Fit on at most ``per_class`` labelled documents a class; without both labels nothing is toxic."""
     sample, counts = labelled_sample(docs, labels, label, per_class, id_col=id_col, text_col=text_col, keep=keep)
+    work = Workspace(docs.sparkSession, "toxicity")
+    sample = work.save(sample, "sample")
     sizes = {int(r.label): int(r.n) for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if not sizes.get(1) or not sizes.get(0):
+        work.drop("sample")
         return OrdinalModel([], np.zeros(1), np.array([10.0, 11.0, 12.0]))
     terms = toxic_terms(sample, sizes[1], sizes[0])
     index = OrdinalModel(terms, np.zeros(len(terms) + 1), np.zeros(GRADES - 1))
@@ -160,6 +163,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", pe
             yield pa.RecordBatch.from_pydict({"id": batch.column(0), "label": batch.column(2), "hits": pa.array(hits, pa.list_(pa.list_(pa.int32())))})
 
     rows = sorted(sample.select("id", "text", "label").mapInArrow(encode, "id long, label int, hits array<array<int>>").toArrow().to_pylist(), key=lambda r: (r["id"], r["label"], r["hits"]))
+    work.drop("sample")
     toxic = np.array([r["label"] == 1 for r in rows])
     chosen = cover([[k for own in r["hits"] for k in own] for r in rows], toxic, len(terms))
     place = {k: n for n, k in enumerate(chosen)}
@@ -185,5 +189,5 @@ def score_toxicity(docs: DataFrame, model: OrdinalModel, *, text_col: str = "tex
         return pd.DataFrame({"severity": p @ np.arange(GRADES), "p_toxic": 1 - p[:, 0], "grade": p.argmax(1).astype("int32")})
 
     scored = docs.withColumn("__score", score(F.col(text_col).cast("string")))
-    kept = [c for c in docs.columns if c not in ("severity", "p_toxic", "grade", "rejected")]
+    kept = [c for c in docs.columns if c.lower() not in ("severity", "p_toxic", "grade", "rejected")]
     return scored.select(*kept, "__score.severity", "__score.p_toxic", "__score.grade", (F.col("__score.p_toxic") > 0.5).alias("rejected"))

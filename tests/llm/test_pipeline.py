@@ -48,3 +48,15 @@ def test_stages_catch_planted_cases(spark, tmp_path):
 
 def test_every_operator_is_registered():
     assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
+
+
+def test_stages_keep_columns_of_clashing_names(spark, tmp_path):
+    rows = [(i, f"plain words number {i} of a text", -1.0, "mine", 7) for i in range(8)] + [(8, None, -1.0, "mine", 7), (None, "no id", -1.0, "mine", 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, Severity double, rejected string, n_lines int")
+    spark.createDataFrame([(0, 1, 0), (1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for stage in (cp.toxicity, cp.line_dedup, cp.jaccard_join, cp.decontamination):
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns
+        got = out.collect()
+        assert len(got) == len(rows) and all((r.Severity, r.rejected, r.n_lines) == (-1.0, "mine", 7) for r in got)

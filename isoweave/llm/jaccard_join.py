@@ -220,6 +220,8 @@ def _differ(a: str, b: str) -> Column:
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int, work: Workspace, name: str) -> DataFrame:
     """The pairs (a, b) of classes that reach the threshold, by their whole sets."""
     one = sets.select("sid", "tokens")
+    if 2 * pairs.count() <= BROADCAST_IDS:  # only the sets of these pairs are dealt out
+        one = one.join(F.broadcast(pairs.select(F.explode(F.array("a", "b")).alias("sid"))), "sid", "left_semi")
     both = pairs.select("a", "b").join(one.toDF("a", "x"), "a").join(one.toDF("b", "y"), "b")
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -39,7 +39,7 @@ import functools
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -79,11 +79,14 @@ def shape_of(word: bytes) -> int:
     return (_short_shape if len(word) <= LOCAL_WORD_BYTES else _shape)(word)
 
 
-def exchange(bigrams: np.ndarray, classes: int) -> np.ndarray:
+def exchange(bigrams: np.ndarray, classes: int, moves: Callable | None = None) -> np.ndarray:
     """The class of each unit, from the unit bigram counts; ends with the sweep that moves none.
 
-    A move must gain more than rounding can, so that the likelihood rises with each and the sweeps end.
+    A gain is the change of ``likelihood`` that the move makes.  It must be more than
+    rounding can give, so that the likelihood rises with each move and the sweeps end.
+    ``moves`` is told of each: the unit, its old class and new one, the gain, all classes.
     """
+
     def f(x: np.ndarray) -> np.ndarray:
         return x * np.log(np.maximum(x, 1.0))
 
@@ -111,11 +114,13 @@ def exchange(bigrams: np.ndarray, classes: int) -> np.ndarray:
             plus_row, plus_col = f(n + row) - fn, f(n + col[:, None]) - fn
             gain = plus_row.sum(1) - plus_row[at, at] + plus_col.sum(0) - plus_col[at, at]
             gain += f(n[at, at] + row + col + self_) - fn[at, at]
-            out, into = n.sum(1), n.sum(0)
+            out, into = n.sum(1) + col, n.sum(0) + row  # a class's totals hold its tokens beside this one too
             gain -= f(out + row.sum() + self_) - f(out) + f(into + col.sum() + self_) - f(into)
             b = int(gain.argmax()) if gain.max() > gain[a] + least_gain else int(a)
             moved += b != a
             cls[w] = b
+            if moves and b != a:
+                moves(w, a, b, gain[b] - gain[a], cls)
             n[b] += row
             n[:, b] += col
             n[b, b] += self_

@@ -34,6 +34,7 @@ class ChunkEncoder:
         vocab = self.tokenizer.get_vocab()
         self.word_end = np.zeros(max(vocab.values()) + 1, bool)
         self.word_end[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
+        self.letters: dict[str, bool] = {}
         self.cache: dict[str, bytes] = {}
         self.limit = cache_chunks
 
@@ -43,27 +44,40 @@ class ChunkEncoder:
             return [c for c in _ASCII_SPACE.split(text) if c]
         return text.split()
 
+    def _is_letter(self, c: str) -> bool:
+        """Whether the tokenizer, which normalizes first, keeps this character within a run of letters."""
+        known = self.letters.get(c)
+        if known is None:
+            run = self.tokenizer.normalizer.normalize_str(f"a{c}a")
+            known = self.letters[c] = c.isalpha() and len(self.tokenizer.pre_tokenizer.pre_tokenize_str(run)) == 1
+        return known
+
+    def _encode_each(self, chunks: list[str]) -> list[bytes]:
+        import numpy as np
+
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
+
     def _encode_words(self, words: list[str]) -> list[bytes]:
         """Words of letters only, so that each is one run of tokens with a word end at its last."""
         import numpy as np
 
         ids = np.array(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, "<u4")
         ends = np.flatnonzero(self.word_end[ids]) + 1
+        if len(ends) != len(words):  # some word is not one run after all
+            return self._encode_each(words)
         raw, cuts = ids.tobytes(), [0, *(4 * ends).tolist()]
         return [raw[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
 
     def _learn(self, chunks: list[str]) -> dict[str, bytes]:
         """The ids of chunks that the cache lacks; it gets them too."""
-        import numpy as np
-
         found: dict[str, bytes] = {}
-        stems = {c: c[:-1] if c[-1] in ".," and len(c) > 1 and c[-2].isalpha() else c for c in chunks}
+        stems = {c: c[:-1] if c[-1] in ".," and len(c) > 1 and self._is_letter(c[-2]) else c for c in chunks}
         todo = [s for s in {*stems.values()} if s not in self.cache]
-        plain = [s for s in todo if s.isalpha() and s.lower().isalpha()]
+        letters = {c for c in set().union(*todo) if self._is_letter(c)}
+        plain = [s for s in todo if letters.issuperset(s)]
         found.update(zip(plain, self._encode_words(plain), strict=True))
         rest = [*(s for s in todo if s not in found), ".", ","]
-        for s, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
-            found[s] = np.array(e.ids, "<u4").tobytes()
+        found.update(zip(rest, self._encode_each(rest), strict=True))
         for c, s in stems.items():
             if s is not c:
                 found[c] = (found.get(s) or self.cache[s]) + found[c[-1]]

@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import unicodedata
 import zlib
 
 import numpy as np
@@ -93,6 +94,20 @@ def test_encoder(texts):
         assert [np.frombuffer(x, "<u4").tolist() for x in enc.encode(odd[::-1])] == want[::-1]
 
 
+def test_encoder_on_letters_of_all_planes():
+    from isoweave.llm.encode import ChunkEncoder
+
+    rng = random.Random(11)
+    alike = [chr(c) for c in range(0x80, 0x110000) if chr(c).isalpha() or unicodedata.category(chr(c))[0] in "MN"]
+    split_up = [c for c in alike if len(unicodedata.normalize("NFC", c)) > 1]  # a letter that falls into a letter and a mark
+    word = lambda pool: "".join(rng.choice([rng.choice(pool), rng.choice("abz")]) for _ in range(rng.randint(1, 5))) + rng.choice(["", "", ".", ","])
+    odd = [" ".join(word(pool) for _ in range(40)) for pool in (alike, split_up, alike[:3000]) for _ in range(60)]
+    odd += ["\u0915\u0932 \u095c\u092c", "\u09dc", "\u0a59.", "\ufb31,"]
+    enc = ChunkEncoder(word_bpe())
+    want = [enc.tokenizer.encode(t, add_special_tokens=False).ids for t in odd]
+    assert [np.frombuffer(x, "<u4").tolist() for x in enc.encode(odd)] == want
+
+
 def test_token_records(docs, empty, spark, texts):
     from isoweave.llm.token_records import frame, read_token_records, unframe, write_token_records
 
@@ -337,6 +352,33 @@ def test_exchange_finds_classes():
     assert all(len(set(found[kind == k])) == 1 for k in range(3)) and len(set(found)) == 3
 
 
+def test_exchange_gains_are_those_of_the_likelihood_and_end():
+    from isoweave.llm.class_lm import exchange, likelihood
+
+    rng = np.random.default_rng(3)
+    for units, classes in ((40, 5), (1000, 16)):
+        share = rng.pareto(1.0, units) + 0.01
+        b = rng.poisson(np.outer(share, share) * (1 + 4 * ((np.arange(units)[:, None] + np.arange(units)) % 3 == 0)) * 0.2).astype(float)
+        seen = []
+        found = exchange(b, classes, moves=lambda w, was, to, gain, cls: seen.append((w, was, to, gain, cls.copy())) if len(seen) < 300 else None)
+
+        def whole(cls):
+            onehot = np.eye(classes)[cls]
+            return likelihood(onehot.T @ b @ onehot)
+
+        for w, was, to, gain, cls in seen:
+            before = cls.copy()
+            before[w] = was
+            assert cls[w] == to and gain == pytest.approx(whole(cls) - whole(before), abs=1e-6 * b.sum())
+            assert gain > 0
+        final = whole(found)  # no single move of any unit raises the likelihood any more
+        for w in rng.choice(units, 40, replace=False):
+            for to in range(classes):
+                other = found.copy()
+                other[w] = to
+                assert whole(other) <= final + 1e-6 * b.sum()
+
+
 def test_near_vectors(spark):
     from isoweave.llm.near_vectors import near_vectors
 

@@ -16,6 +16,7 @@ from isoweave.llm.near_vectors import near_vectors
 from isoweave.llm.packing import pack
 from isoweave.llm.quality import classify_quality
 from isoweave.llm.secrets import count_of, find_secrets, spans_text
+from isoweave.llm.source_audit import source_divergence
 from isoweave.llm.token_records import token_records
 from isoweave.llm.toxicity import fit_toxicity, score_toxicity
 
@@ -169,3 +170,48 @@ select s.doc_id, len(s.sh) as n_shingles, c.component_id from s join c on s.doc_
 @query("op6_token_combinations", OP6_SQL)
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents").select("doc_id", "text"), width=3, percent=90)
+
+
+OP11_SQL = """
+with d as (
+  select row_number() over () as k, coalesce(lang, '') as lang, coalesce(source, '') as source,
+         translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as body
+  from documents),
+g as (select distinct lang, source from d),
+t as (select k, lang, source, unnest(regexp_extract_all(body, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) as term from d),
+c as (select lang, source, term, count(*) as n from t group by all),
+kept as (select lang, term from t group by lang, term having count(distinct k) >= 10),
+v as (select lang, count(*) as n_terms from kept group by lang),
+cell as (
+  select g.lang, g.source, kept.term, coalesce(c.n, 0)::hugeint as n
+  from g join kept using (lang) left join c on c.lang = g.lang and c.source = g.source and c.term = kept.term),
+whole as (select lang, term, sum(n)::hugeint as n from cell group by lang, term),
+p as (
+  select lang, source, term, n, 1 + (1000000000::hugeint * (n + 2)) // (sum(n) over (partition by lang, source) + 2 * n_terms)::hugeint as p
+  from cell join v using (lang)),
+q as (
+  select lang, term, 1 + (1000000000::hugeint * (n + 2)) // (sum(n) over (partition by lang) + 2 * n_terms)::hugeint as q
+  from whole join v using (lang)),
+pair as (
+  select a.lang, a.source, b.source as item, coalesce(sum(((x.p - y.p) * (x.p - y.p)) // (x.p + y.p)), 0)::bigint as value
+  from g a join g b on a.lang = b.lang and a.source <> b.source
+  left join p x on x.lang = a.lang and x.source = a.source
+  left join p y on y.lang = b.lang and y.source = b.source and y.term = x.term
+  group by all),
+term as (
+  select lang, source, term as item, (((p - q) * (p - q)) // (p + q))::bigint as value
+  from p join q using (lang, term) where n > 0 and p > q)
+select lang, source, 'pair' as part, item, value,
+       (row_number() over (partition by lang, source order by value desc, item))::integer as rank
+from pair
+union all
+select * from (
+  select lang, source, 'term' as part, item, value,
+         (row_number() over (partition by lang, source order by value desc, item))::integer as rank
+  from term) where rank <= 10
+"""
+
+
+@query("op11_source_divergence", OP11_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence(table(spark, sf_dir, "documents").select("lang", "source", "text"))

@@ -15,6 +15,7 @@ from isoweave.llm.line_dedup import dedup_lines
 from isoweave.llm.near_vectors import near_vectors
 from isoweave.llm.packing import pack
 from isoweave.llm.quality import classify_quality
+from isoweave.llm.resampling import resample
 from isoweave.llm.secrets import count_of, find_secrets, spans_text
 from isoweave.llm.source_audit import source_divergence
 from isoweave.llm.token_records import token_records
@@ -215,3 +216,9 @@ select * from (
 @query("op11_source_divergence", OP11_SQL)
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_divergence(table(spark, sf_dir, "documents").select("lang", "source", "text"))
+
+
+@query("op13_importance_resampling")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return resample(docs, table(spark, sf_dir, "benchmark").select("text")).select("doc_id", "n_features", "weight", "score", "rank")

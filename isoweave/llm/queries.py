@@ -20,6 +20,7 @@ from isoweave.llm.secrets import count_of, find_secrets, spans_text
 from isoweave.llm.source_audit import source_divergence
 from isoweave.llm.token_records import token_records
 from isoweave.llm.toxicity import fit_toxicity, score_toxicity
+from isoweave.llm.url_filter import ALLOW, BLOCK, filter_urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -222,3 +223,12 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return resample(docs, table(spark, sf_dir, "benchmark").select("text")).select("doc_id", "n_features", "weight", "score", "rank")
+
+
+#: The contract's rules (fixed values).
+URL_RULES = [("com/", ALLOW), ("example.com/en/", BLOCK), ("www.example.com/en/", ALLOW), ("net/es/", BLOCK), ("net/fr/", BLOCK)]
+
+
+@query("op12_url_filter")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES)

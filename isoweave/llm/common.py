@@ -101,3 +101,17 @@ def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterable[dict] | dic
                 yield pa.RecordBatch.from_pydict(cols)
 
     return df.mapInArrow(run, schema)
+
+
+def word_lists(text: bytes, table: bytes, piece: int) -> Iterator[list[bytes]]:
+    """The words of a text in lists of about ``piece`` bytes; ``table`` maps bytes, and a blank is what parts words."""
+    if len(text) <= piece:
+        yield text.translate(table).split()
+        return
+    at = 0
+    while at < len(text):
+        cut = min(at + piece, len(text))
+        while cut < len(text) and table[text[cut]] != 32:
+            cut += 1
+        yield text[at:cut].translate(table).split()
+        at = cut

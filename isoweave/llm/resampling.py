@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from isoweave.llm.common import Workspace, need
+from isoweave.llm.common import Workspace, need, word_lists
 
 BUCKETS = 10_000
 CACHE_WORDS = 400_000
@@ -117,8 +117,7 @@ class Features:
                     words, rows = [], []
                 continue
             last: list[bytes] = []
-            for part in _pieces(text):
-                own = part.translate(_LOWER).split()
+            for own in word_lists(text, _LOWER, PIECE):
                 if own:  # the last word goes on into the next piece's first pair, but counts once
                     yield self._block(last + own, np.full(len(last) + len(own), row), skip_first=bool(last))
                     last = own[-1:]
@@ -133,17 +132,6 @@ class Features:
         return np.concatenate((rows, first)), np.concatenate((one, two)), rows
 
 
-def _pieces(text: bytes) -> Iterator[bytes]:
-    """Pieces of about ``PIECE`` bytes, cut where no word goes on."""
-    at = 0
-    while at < len(text):
-        cut = min(at + PIECE, len(text))
-        while cut < len(text) and _LOWER[text[cut]] != 32:
-            cut += 1
-        yield text[at:cut]
-        at = cut
-
-
 @functools.cache
 def _features(buckets: int) -> Features:
     """One a Python worker, kept between its tasks."""

@@ -8,11 +8,11 @@ floor((p - q)^2 / (p + q)).  Part ``pair`` sums that over all kept terms for eac
 two sources of a language; part ``term`` lists each source's most overused terms
 against the language.
 
-Method: one pass counts (lang, source, term), partly in each task; a kept term is
-then pivoted into one array with a place for each source of its language, higher
-order functions emit what the term adds to each two sources, and partial
-aggregation sums that in each task before anything is shuffled.  Everything runs
-in the JVM, on integers.  No join or window has the language alone for its key:
+Method: one pass counts (lang, source, term) in Arrow batches, summed up in each
+task before they meet; a kept term is then pivoted into one array with a place for
+each source of its language, higher order functions of the JVM emit what the term
+adds to each two sources, and partial aggregation sums that in each task before
+anything is shuffled.  All of it is on integers.  No join or window has the language alone for its key:
 terms meet their language's sources under a salt, and top lists are cut in each
 task before they meet.  A row holds a few numbers for each source of its language.
 
@@ -25,14 +25,19 @@ empty table gives an empty result; extra columns are ignored.
 
 from __future__ import annotations
 
-from string import ascii_lowercase, ascii_uppercase
+from collections import Counter, defaultdict
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from isoweave.llm.common import Workspace, need
+from isoweave.llm.common import Workspace, need, word_lists
 
-TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+#: Bytes of text read together, and terms that a task holds before it passes its counts on.
+PIECE, FLUSH = 1 << 20, 500_000
+_LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256))
 SCALE, SMOOTH = 1_000_000_000, 2
 #: SCALE times a count up to this fits a long; beyond it decimals carry the product.
 _FITS = 9_000_000_000
@@ -43,14 +48,36 @@ def _groups(docs: DataFrame, lang_col: str, source_col: str) -> DataFrame:
     return docs.withColumns({"__lang": named(lang_col, "__lang"), "__source": named(source_col, "__source")})
 
 
+def _partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def out() -> pa.RecordBatch:
+        many = [len(c) for c in held.values()]
+        named = lambda k: pa.array(np.repeat(np.array([g[k] for g in held], object), many), pa.string())
+        terms = [t for c in held.values() for t in c]
+        n = [counts[g][t] for g, c in held.items() for t in c]
+        return pa.RecordBatch.from_pydict({"lang": named(0), "source": named(1), "term": pa.array(terms, pa.binary()), "n": pa.array(n, pa.int64()), "docs": pa.array([d for c in held.values() for d in c.values()], pa.int64())})
+
+    counts, held = defaultdict(Counter), defaultdict(Counter)
+    size = 0
+    for batch in batches:
+        for lang, source, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            n, docs, own = counts[lang, source], held[lang, source], set()
+            before = len(docs)
+            for words in word_lists(text, _LETTERS, PIECE):
+                n.update(words)
+                own.update(words)
+            docs.update(own)
+            size += len(docs) - before
+            if size > FLUSH:
+                yield out()
+                counts, held, size = defaultdict(Counter), defaultdict(Counter), 0
+    yield out()
+
+
 def term_counts(docs: DataFrame, lang_col: str = "lang", source_col: str = "source", text_col: str = "text") -> DataFrame:
     """(lang, source, term, n, docs): a term's occurrences in a source, and the documents there that hold it."""
-    text = F.translate(F.coalesce(F.col(text_col).cast("string"), F.lit("")), ascii_uppercase, ascii_lowercase)
-    found = _groups(docs, lang_col, source_col).select(F.col("__lang").alias("lang"), F.col("__source").alias("source"), F.regexp_extract_all(text, F.lit(TERM), F.lit(0)).alias("terms"))
-    every = F.transform("terms", lambda t: F.struct(t.alias("term"), F.lit(1).alias("n"), F.lit(0).alias("docs")))
-    once = F.transform(F.array_distinct("terms"), lambda t: F.struct(t.alias("term"), F.lit(0).alias("n"), F.lit(1).alias("docs")))
-    rows = found.select("lang", "source", F.inline(F.concat(every, once)))
-    return rows.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    text = F.coalesce(F.col(text_col).cast("binary"), F.lit("").cast("binary"))
+    rows = _groups(docs, lang_col, source_col).select("__lang", "__source", text).mapInArrow(_partial, "lang string, source string, term binary, n long, docs long")
+    return rows.groupBy("lang", "source", F.col("term").cast("string").alias("term")).agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 
 def _share(count: str, total: str) -> str:

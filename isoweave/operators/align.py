@@ -158,9 +158,9 @@ def merge_by_steps(seqs: DataFrame, steps: list[tuple[str, str]], key: str, memb
     """Per family one alignment of its members' alignments, merged pair by pair.
 
     ``steps`` are (into, from) names of members; a name then stands for all that
-    was merged into it.  A member that a family lacks is passed over, so that what
-    was to join it keeps its own name's place.  Members that no step names join
-    at the end by name; a null member or alignment counts as an empty one.
+    was merged into it, or for what was to join it where a family lacks the member
+    itself.  What the steps leave apart is joined in the order in which they name
+    it, and members that no step names join at the end by name; a null member or alignment counts as an empty one.
     Returns key, row_no, seq_id, aligned.
     """
 
@@ -179,8 +179,9 @@ def merge_by_steps(seqs: DataFrame, steps: list[tuple[str, str]], key: str, memb
 
         for into, source in steps:
             join(into, source)
-        first, *others = held
-        for name in sorted(others):
+        named = {name: k for k, name in enumerate(dict.fromkeys(x for step in steps for x in step))}
+        first, *others = sorted(held, key=lambda name: (named.get(name, len(named)), name))
+        for name in others:
             join(first, name)
         ids, rows = held[first]
         return pd.DataFrame({key: pdf[key].iloc[0], "row_no": np.arange(len(ids)), seq_id: ids, "aligned": finalize(rows)})

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from isoweave.operators.align import GapCosts, merge_by_steps, merge_families
+from isoweave.operators.frames import compose_frames
 from isoweave.operators.mapping import canonical, exon_hits, with_misses
-from isoweave.operators.msa import compose
 from isoweave.operators.weave import codon_centres, weave
 from isoweave.sources.text import fetch
 
@@ -46,8 +46,8 @@ def map_proteins(proteins: DataFrame, annotations: DataFrame, chunks: DataFrame,
 
 
 def align_species(mapped: DataFrame, misses: DataFrame, proteins: DataFrame) -> DataFrame:
-    """gene, seq_id, aligned: the family composed from coordinates, with the unmapped added in order of their ids."""
-    rows = compose(mapped, ["gene"], "seq_id").withColumn("step", F.lit(-1).cast("long"))
+    """gene, seq_id, aligned: the family composed from coordinates, frame by frame, with the unmapped added in order of their ids."""
+    rows = compose_frames(mapped, ["gene"], "seq_id").drop("label").withColumn("step", F.lit(-1).cast("long"))
     rest = misses.join(proteins.select("seq_id", "residues"), "seq_id").select("gene", "seq_id", F.col("residues").alias("aligned"), F.col("seq_id").alias("step"))
     return merge_families(rows.unionByName(rest), "gene", "step", "seq_id", "aligned", final=False, costs=GapCosts(intron_base=0.0)).drop("row_no")
 

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from isoweave.functions import bio
-from isoweave.operators import align, intervals, mapping, msa, names, seeds
+from isoweave.operators import align, frames, intervals, mapping, msa, names, repair, seeds
 from isoweave.sources import text as sources
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -431,6 +431,40 @@ def composed_alignment(t):
     return msa.compose(m, ["g"], "s")
 
 
+def isoforms(t: Tables) -> DataFrame:
+    """Documents as isoforms: residue k of a text in cell k of its gene, 60 cells an exon, each exon in a frame of the document's own.
+
+    Every 97th residue stands in the cell of the one before it, as insertions do.
+    """
+    p = proteins(t).filter("residues <> ''").withColumn("d", F.crc32(F.col("seq_id").cast("string")) % 97)
+    k = F.filter(F.sequence(F.lit(0), F.length("residues") - 1), lambda k: (k == 0) | ((k + F.col("d")) % 97 != 0))
+    cell = F.col("k") - (F.floor((F.col("k") + F.col("d")) / 97) - F.floor(F.col("d") / 97))
+    wide = F.when((F.col("k") + 1 + F.col("d")) % 97 == 0, 2).otherwise(1)
+    c = p.withColumn("k", F.explode(k)).withColumn("cell", cell).withColumn("exon", F.floor(F.col("cell") / 60))
+    frame = F.get(F.array(*map(F.lit, (0, 0, 0, 0, 1, 2))), F.crc32(F.concat_ws(":", "seq_id", "exon")) % 6)
+    return c.select("species", "gene", "seq_id", (3 * F.col("cell") + 1000 * F.col("exon") + frame).alias("pos"), F.substr("residues", F.col("k") + 1, wide).alias("ch"))
+
+
+@query()
+def framed_alignment(t):
+    return frames.compose_frames(isoforms(t), ["species", "gene"], "seq_id")
+
+
+@query()
+def frame_segments(t):
+    """Per exon and segment: how many frames it has, and how many sequences and residues they hold."""
+    exons = frames.exon_rows(isoforms(t), ["species", "gene"], "seq_id", clean=False)
+    r = exons.select("species", "gene", "exon", F.explode("read").alias("r")).select("species", "gene", "exon", "r.*")
+    return r.groupBy("species", "gene", "exon", "segment", "frames").agg(F.count("*").alias("n_seqs"), F.sum("n").alias("n_residues"))
+
+
+@query()
+def repaired_alignment(t):
+    pos = F.floor("value")
+    m = t.events.select(F.col("user_id").alias("g"), F.col("event_type").alias("s"), pos.alias("pos"), F.char((65 + pos % 5).cast("long")).alias("ch")).distinct()
+    return repair.repair_families(msa.compose(m, ["g"], "s"), ["g"], "s")
+
+
 _ROWS = ", ".join("[" + ", ".join(str(x) for x in row) + "]" for row in bio.SCORES)
 
 

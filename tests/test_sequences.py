@@ -153,3 +153,11 @@ def test_streamed_counts(spark, tmp_path):
     query.awaitTermination(120)
     key = lambda r: tuple(r)
     assert sorted(spark.table("counted").collect(), key=key) == sorted(residue_counts(df).collect(), key=key)
+
+
+def test_merge_keeps_the_order_of_the_steps_where_species_are_missing(spark):
+    rows = [(gene, sp, f"{gene}{sp}", "/ACDEF/") for gene, held in (("g1", "bz"), ("g2", "dbz"), ("g3", "acbzy"), ("g4", "z")) for sp in held]
+    df = spark.createDataFrame(rows, "gene string, species string, seq_id string, aligned string")
+    got = merge_species(df, [("a", "b"), ("c", "d"), ("a", "c")]).orderBy("gene", "row_no").collect()
+    order = {g: "".join(r.seq_id[-1] for r in got if r.gene == g) for g in ("g1", "g2", "g3", "g4")}
+    assert order == {"g1": "bz", "g2": "bdz", "g3": "abcyz", "g4": "z"}

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from isoweave.operators.grouped import map_groups
+
 
 def _before(w: Window) -> Window:
     return w.rowsBetween(Window.unboundedPreceding, -1)
@@ -43,24 +47,48 @@ def pad_and_merge(df: DataFrame, keys: list[str], start: str, end: str, pad: int
     return merge_intervals(df.withColumns({"__a": a, "__b": b}).select(*keys, F.col("__a").alias(start), F.col("__b").alias(end)), keys, start, end)
 
 
-def bisect(df: DataFrame, keys: list[str], start: str, end: str, span: int, rounds: int = 64, out: str = "cluster") -> DataFrame:
+def _sides(ranges: list[tuple[int, int]], span: int, by_centre: bool) -> list[str]:
+    """The path of each range as clusters that span ``span`` or more are cut at their middle."""
+    out = [""] * len(ranges)
+    todo = [list(range(len(ranges)))]
+    while todo:
+        own = todo.pop()
+        lo, hi, last = min(ranges[k][0] for k in own), max(ranges[k][1] for k in own), max(ranges[k][0] for k in own)
+        if hi - lo < span or (last == lo and not by_centre):
+            continue
+        middle = min((lo + hi) // 2, last)
+        left = [k for k in own if (sum(ranges[k]) < lo + hi if by_centre else ranges[k][0] < middle)]
+        gone = set(left)
+        right = [k for k in own if k not in gone]
+        if not left or not right:
+            continue
+        for side, part in (("0", left), ("1", right)):
+            for k in part:
+                out[k] += side
+            todo.append(part)
+    return out
+
+
+def bisect(df: DataFrame, keys: list[str], start: str, end: str, span: int, out: str = "cluster", by_centre: bool = False) -> DataFrame:
     """Clusters ranges: a cluster spanning ``span`` or more is cut at its middle, until none is.
 
-    A range goes to the side of its start.  ``out`` is the path of sides taken.
-    A cluster whose starts are all equal can't be cut and stays.
+    A range goes to the side of its start, or of its centre.  ``out`` is the path of
+    sides taken.  A cluster that a cut would leave whole stays.  A task holds one
+    key's ranges at a time and cuts them to the end in one pass.
     """
-    now = df.withColumn(out, F.lit(""))
-    for _ in range(rounds):
-        w = Window.partitionBy(*keys, out)
-        now = now.withColumns({"__lo": F.min(start).over(w), "__hi": F.max(end).over(w), "__last": F.max(start).over(w)})
-        cut = (F.col("__hi") - F.col("__lo") >= span) & (F.col("__last") > F.col("__lo"))
-        middle = F.least(F.floor((F.col("__lo") + F.col("__hi")) / 2), F.col("__last"))
-        side = F.when(cut, F.concat(F.col(out), F.when(F.col(start) < middle, "0").otherwise("1"))).otherwise(F.col(out))
-        again = now.filter(cut).limit(1).count()
-        now = now.withColumn(out, side).drop("__lo", "__hi", "__last")
-        if not again:
-            break
-    return now
+    at = [df.columns.index(c) for c in (start, end)]
+
+    def run(rows: list[tuple]) -> Iterator[tuple]:
+        for row, path in zip(rows, _sides([(r[at[0]], r[at[1]]) for r in rows], span, by_centre), strict=True):
+            yield *row, path
+
+    schema = ", ".join(f"`{c}` {t}" for c, t in df.dtypes)
+    return map_groups(df, keys, [start, end], run, f"{schema}, `{out}` string")
+
+
+def cluster_ranges(df: DataFrame, keys: list[str], start: str, end: str, span: int) -> DataFrame:
+    """keys, start and end of the clusters that ``bisect`` makes by the ranges' centres."""
+    return bisect(df.select(*keys, start, end), keys, start, end, span, "__path", by_centre=True).groupBy(*keys, "__path").agg(F.min(start).alias(start), F.max(end).alias(end)).drop("__path")
 
 
 def running_offsets(df: DataFrame, keys: list[str], order: list[str], length: str, out: str = "offset") -> DataFrame:

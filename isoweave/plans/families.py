@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from isoweave.functions.bio import strand_label
 from isoweave.operators.align import GapCosts, merge_by_steps, merge_families
+from isoweave.operators.durable import kept
 from isoweave.operators.frames import compose_frames
 from isoweave.operators.mapping import canonical, exon_hits, with_misses
+from isoweave.operators.search import best_before_stop, last_written, staged_search, translated_search
+from isoweave.operators.spliced import spliced_maps
 from isoweave.operators.weave import codon_centres, weave
 from isoweave.sources.text import fetch
 
@@ -25,24 +29,86 @@ def exon_windows(annotations: DataFrame, chunks: DataFrame, sizes: DataFrame, si
     return fetch(chunks, a.select(*keys, "chr", "a", "b"), size, keys).withColumnRenamed("a", "n_first")
 
 
+def seed_maps(proteins: DataFrame, annotations: DataFrame, chunks: DataFrame, sizes: DataFrame, size: int = 1 << 16) -> DataFrame:
+    """The paths through annotated exons that cover a protein from end to end: gene and the columns of ``weave``."""
+    hits = exon_hits(exon_windows(annotations, chunks, sizes, size), proteins)
+    return weave(hits, proteins).filter("full").join(proteins.select("seq_id", "gene"), "seq_id")
+
+
+def _seeded_residues(paths: DataFrame) -> DataFrame:
+    """(seq_id, residue, pos) of each sequence's best path: the best score, then the smallest chromosome."""
+    best = paths.groupBy("seq_id").agg(F.min_by(F.struct("chr", "strand", "path"), F.struct((-F.col("score")).alias("s"), "chr", "strand", "path")).alias("b")).select("seq_id", "b.*")
+    centres = codon_centres(paths.join(best, ["seq_id", "chr", "strand", "path"], "left_semi"))
+    return centres.select("seq_id", "residue", (F.col("strand") * F.col("pos")).alias("pos"))
+
+
+def _with_letters(placed: DataFrame, proteins: DataFrame) -> DataFrame:
+    letters = proteins.select("seq_id", "gene", F.posexplode(F.filter(F.split("residues", ""), lambda c: c != "")).alias("residue", "ch"))
+    return placed.join(letters, ["seq_id", "residue"]).select("gene", "seq_id", "pos", "ch")
+
+
 def map_proteins(proteins: DataFrame, annotations: DataFrame, chunks: DataFrame, sizes: DataFrame, size: int = 1 << 16) -> tuple[DataFrame, DataFrame]:
-    """(mapped residues, misses) of one species.
+    """(mapped residues, misses) of one species, by its annotated exons alone.
 
     ``proteins``: seq_id, gene, residues.  A mapping must cover the protein from
     end to end and lie on its gene's commonest chromosome; of several the best
     score stays, then the smallest chromosome.
     """
-    hits = exon_hits(exon_windows(annotations, chunks, sizes, size), proteins)
-    paths = weave(hits, proteins).filter("full").join(proteins.select("seq_id", "gene"), "seq_id")
+    paths = seed_maps(proteins, annotations, chunks, sizes, size)
     home = canonical(paths.select("gene", "seq_id", "chr").distinct(), ["gene"], "chr")
     good = paths.join(home, "gene").filter("chr = canonical")
-    best = good.groupBy("seq_id").agg(F.min_by(F.struct("chr", "strand", "path"), F.struct((-F.col("score")).alias("s"), "chr", "strand", "path")).alias("b")).select("seq_id", "b.*")
-    centres = codon_centres(good.join(best, ["seq_id", "chr", "strand", "path"], "left_semi"))
-    letters = proteins.select("seq_id", "gene", F.posexplode(F.filter(F.split("residues", ""), lambda c: c != "")).alias("residue", "ch"))
-    mapped = centres.join(letters, ["seq_id", "residue"]).select("gene", "seq_id", (F.col("strand") * F.col("pos")).alias("pos"), "ch")
     wrong = with_misses(paths.select("seq_id", "gene").distinct(), good, ["seq_id"], "Noncanonical")
     unmapped = with_misses(proteins.select("seq_id", "gene"), paths, ["seq_id"])
-    return mapped, wrong.unionByName(unmapped)
+    return _with_letters(_seeded_residues(good), proteins), wrong.unionByName(unmapped)
+
+
+AROUND = 1000
+
+
+def guided_searches(proteins: DataFrame, annotations: DataFrame, sizes: DataFrame) -> DataFrame:
+    """A search for each sequence and chromosome strand of its gene: its annotated exons from first to last, with ``AROUND`` bases more."""
+    a = annotations.withColumns({"lo": F.least("start", "end"), "hi": F.greatest("start", "end")})
+    span = a.groupBy("gene", "chr", "strand").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.count("*").alias("n")).join(sizes, "chr")
+    lo, hi = F.greatest(F.col("lo") - AROUND, F.lit(1)), F.least(F.col("hi") + AROUND, F.col("size"))
+    nth = F.row_number().over(Window.partitionBy("gene").orderBy(F.desc("n"), "chr", "strand")).cast("long")
+    own = span.select("gene", nth.alias("search"), F.lit(1).alias("part"), "chr", F.when(F.col("strand") > 0, lo).otherwise(hi).alias("a"), F.when(F.col("strand") > 0, hi).otherwise(lo).alias("b"))
+    return proteins.select("seq_id", "gene").join(own, "gene").drop("gene")
+
+
+def map_with_search(proteins: DataFrame, annotations: DataFrame, chunks: DataFrame, sizes: DataFrame, size: int = 1 << 16) -> tuple[DataFrame, DataFrame]:
+    """(mapped residues, misses) of one species, by annotated exons and then by searches.
+
+    What the seeds leave without a full map is aligned to the gene's annotated
+    stretch; what is still left, and genes without annotations, to the ranges
+    that a translated search of the whole genome leads to.  Of several maps of a
+    sequence the one written last counts.  A gene's chromosome is the commonest of
+    all its maps; others are misses, Chimeric or Noncanonical, as is what nothing maps.
+    """
+    paths = kept(seed_maps(proteins, annotations, chunks, sizes, size))
+    left = proteins.join(paths.select("seq_id"), "seq_id", "left_anti")
+    searches = guided_searches(left, annotations, sizes)
+    found = spliced_maps(left, searches, chunks, 90.0, size)
+    guided = kept(best_before_stop(found, ["seq_id"], ["search"], "pct_id"))
+    rest = kept(left.join(guided.select("seq_id"), "seq_id", "left_anti"))
+    hits = kept(translated_search(rest, chunks, sizes, size))
+    searched = staged_search(rest, hits, chunks, sizes, size).drop("stage")
+    spliced = last_written(guided.withColumn("phase", F.lit(2)).unionByName(searched.withColumn("phase", F.lit(3))), ["seq_id"], "phase")
+    spliced = spliced.join(proteins.select("seq_id", "gene"), "seq_id").select("gene", "seq_id", "chr", "chimeric", "exons")
+
+    seeded = paths.withColumn("label", strand_label(F.col("chr"), F.col("strand")))
+    label = F.when(F.col("chimeric"), "Chimeric").otherwise(F.col("chr"))
+    labels = seeded.select("gene", "seq_id", "label").distinct().unionByName(spliced.select("gene", "seq_id", label.alias("label")))
+    home = canonical(labels, ["gene"], "label")
+    good = seeded.join(home, "gene").filter("label = canonical")
+    fine = spliced.join(home, "gene").filter("not chimeric and chr = canonical")
+    exon = fine.select("seq_id", F.explode("exons").alias("e")).select("seq_id", "e.a_start", "e.strand", F.posexplode("e.centres").alias("k", "at"))
+    placed = _seeded_residues(good).unionByName(exon.select("seq_id", (F.col("a_start") + F.col("k")).alias("residue"), (F.col("strand") * F.col("at")).alias("pos")))
+
+    kept_ids = good.select("seq_id").unionByName(fine.select("seq_id")).distinct()
+    why = labels.groupBy("gene", "seq_id").agg(F.when(F.every(F.col("label") == "Chimeric"), "Chimeric").otherwise("Noncanonical").alias("reason"))
+    wrong = why.join(kept_ids, "seq_id", "left_anti").select("seq_id", "gene", "reason")
+    unmapped = with_misses(proteins.select("seq_id", "gene"), labels, ["seq_id"])
+    return _with_letters(placed, proteins), wrong.unionByName(unmapped)
 
 
 def align_species(mapped: DataFrame, misses: DataFrame, proteins: DataFrame) -> DataFrame:

@@ -161,3 +161,35 @@ def test_merge_keeps_the_order_of_the_steps_where_species_are_missing(spark):
     got = merge_species(df, [("a", "b"), ("c", "d"), ("a", "c")]).orderBy("gene", "row_no").collect()
     order = {g: "".join(r.seq_id[-1] for r in got if r.gene == g) for g in ("g1", "g2", "g3", "g4")}
     assert order == {"g1": "bz", "g2": "bdz", "g3": "abcyz", "g4": "z"}
+
+
+def test_searches_map_what_the_seeds_miss(spark, planted):
+    """A gene whose middle exon isn't annotated, one without annotations, one over two chromosomes, and nonsense."""
+    genome, chunks, sizes, annotations, proteins, prots = planted
+    rng = random.Random(12)
+    novel = ["".join(rng.choice(bio.AMINO) for _ in range(40)) for _ in range(2)]
+    coded = ["".join(BACK[a] for a in e) for e in novel]
+    third = bases(rng, 300) + coded[0] + "GT" + bases(rng, 120) + "AG" + coded[1] + bases(rng, 300)
+    genome = genome | {"chr3": third}
+    chunks = sources.chunked(spark.createDataFrame(list(genome.items()), "chr string, sequence string"), 128)
+    sizes = spark.createDataFrame([(c, len(x)) for c, x in genome.items()], "chr string, size long")
+    partly = annotations.filter("not (gene = 'g1' and line_no = 1)")
+    more = [*prots, (20, "g3", "".join(novel)), (21, "g3", novel[0] + prots[0][2][:30] + novel[1]), (22, "g1", "Y" * 30)]
+    proteins = spark.createDataFrame(more, "seq_id long, gene string, residues string")
+    mapped, misses = families.map_with_search(proteins, partly, chunks, sizes, 128)
+    rows = mapped.collect()
+    for seq_id in (0, 1, 3, 4, 20):
+        own = sorted((r for r in rows if r.seq_id == seq_id), key=lambda r: r.pos)
+        residues = next(p[2] for p in more if p[0] == seq_id)
+        assert "".join(r.ch for r in own) == residues, seq_id
+        chrom, strand = {"g1": ("chr1", 1), "g2": ("chr2", -1), "g3": ("chr3", 1)}[own[0].gene]
+        for r in own:
+            at = abs(r.pos) - 1
+            three = genome[chrom][at - 1 : at + 2]
+            three = three if strand > 0 else three[::-1].translate(str.maketrans("ACGT", "TGCA"))
+            right = len(three) == 3 and bio.CODONS[16 * "ACGT".index(three[0]) + 4 * "ACGT".index(three[1]) + "ACGT".index(three[2])] == r.ch
+            assert right or sum(x.seq_id == seq_id for x in rows) > 60  # codons cut by a junction are read apart
+    left = {r.seq_id: r.reason for r in misses.collect()}
+    assert set(left) == {2, 5, 21, 22} and left[2] == left[5] == left[22] == "Unmapped" and left[21] in ("Chimeric", "Unmapped")
+    aligned = families.align_species(mapped, misses, proteins).collect()
+    assert {r.seq_id for r in aligned} == {p[0] for p in more}

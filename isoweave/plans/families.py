@@ -35,6 +35,15 @@ def seed_maps(proteins: DataFrame, annotations: DataFrame, chunks: DataFrame, si
     return weave(hits, proteins).filter("full").join(proteins.select("seq_id", "gene"), "seq_id")
 
 
+def best_paths(paths: DataFrame) -> DataFrame:
+    """gene, seq_id, method, chr (a label), chimeric, note, exons of each sequence's best path, in the form of ``spliced_maps``."""
+    best = paths.groupBy("seq_id").agg(F.min_by(F.struct("gene", "chr", "strand", "exons"), F.struct((-F.col("score")).alias("s"), "chr", "strand", "path")).alias("b")).select("seq_id", "b.*")
+    # the first exon counts from its start, the others from their ends, as the codon at a junction belongs to the exon of its first bases
+    centres = "transform(sequence(e.a_start, e.a_end), r -> if(k = 0, e.n_start + strand * (3 * (r - e.a_start) + 1), e.n_end - strand * (3 * (e.a_end - r) + 1)))"
+    exons = F.expr(f"transform(filter(exons, e -> e.a_end >= e.a_start), (e, k) -> struct(e.a_start as a_start, e.a_end as a_end, chr as chr, strand as strand, e.n_start as n_start, e.n_end as n_end, {centres} as centres))")
+    return best.select("gene", "seq_id", F.lit("seed_weave").alias("method"), strand_label(F.col("chr"), F.col("strand")).alias("label"), F.lit(False).alias("chimeric"), F.lit(None).cast("string").alias("note"), exons.alias("exons")).withColumnRenamed("label", "chr")
+
+
 def _seeded_residues(paths: DataFrame) -> DataFrame:
     """(seq_id, residue, pos) of each sequence's best path: the best score, then the smallest chromosome."""
     best = paths.groupBy("seq_id").agg(F.min_by(F.struct("chr", "strand", "path"), F.struct((-F.col("score")).alias("s"), "chr", "strand", "path")).alias("b")).select("seq_id", "b.*")
@@ -75,14 +84,15 @@ def guided_searches(proteins: DataFrame, annotations: DataFrame, sizes: DataFram
     return proteins.select("seq_id", "gene").join(own, "gene").drop("gene")
 
 
-def map_with_search(proteins: DataFrame, annotations: DataFrame, chunks: DataFrame, sizes: DataFrame, size: int = 1 << 16) -> tuple[DataFrame, DataFrame]:
-    """(mapped residues, misses) of one species, by annotated exons and then by searches.
+def map_with_search(proteins: DataFrame, annotations: DataFrame, chunks: DataFrame, sizes: DataFrame, size: int = 1 << 16, whole_genome: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(maps, misses) of one species, by annotated exons and then by searches; ``mapped_residues`` has the maps' residues.
 
     What the seeds leave without a full map is aligned to the gene's annotated
     stretch; what is still left, and genes without annotations, to the ranges
     that a translated search of the whole genome leads to.  Of several maps of a
     sequence the one written last counts.  A gene's chromosome is the commonest of
     all its maps; others are misses, Chimeric or Noncanonical, as is what nothing maps.
+    Without ``whole_genome`` only annotated stretches are searched.
     """
     paths = kept(seed_maps(proteins, annotations, chunks, sizes, size))
     left = proteins.join(paths.select("seq_id"), "seq_id", "left_anti")
@@ -90,34 +100,53 @@ def map_with_search(proteins: DataFrame, annotations: DataFrame, chunks: DataFra
     found = spliced_maps(left, searches, chunks, 90.0, size)
     guided = kept(best_before_stop(found, ["seq_id"], ["search"], "pct_id"))
     rest = kept(left.join(guided.select("seq_id"), "seq_id", "left_anti"))
-    hits = kept(translated_search(rest, chunks, sizes, size))
+    hits = kept(translated_search(rest if whole_genome else rest.limit(0), chunks, sizes, size))
     searched = staged_search(rest, hits, chunks, sizes, size).drop("stage")
     spliced = last_written(guided.withColumn("phase", F.lit(2)).unionByName(searched.withColumn("phase", F.lit(3))), ["seq_id"], "phase")
-    spliced = spliced.join(proteins.select("seq_id", "gene"), "seq_id").select("gene", "seq_id", "chr", "chimeric", "exons")
+    method = F.when(F.col("phase") == 2, "guided_spliced").otherwise("search_spliced")
+    spliced = spliced.join(proteins.select("seq_id", "gene"), "seq_id").select("gene", "seq_id", method.alias("method"), "chr", "chimeric", "note", "exons")
 
     seeded = paths.withColumn("label", strand_label(F.col("chr"), F.col("strand")))
     label = F.when(F.col("chimeric"), "Chimeric").otherwise(F.col("chr"))
     labels = seeded.select("gene", "seq_id", "label").distinct().unionByName(spliced.select("gene", "seq_id", label.alias("label")))
     home = canonical(labels, ["gene"], "label")
-    good = seeded.join(home, "gene").filter("label = canonical")
-    fine = spliced.join(home, "gene").filter("not chimeric and chr = canonical")
-    exon = fine.select("seq_id", F.explode("exons").alias("e")).select("seq_id", "e.a_start", "e.strand", F.posexplode("e.centres").alias("k", "at"))
-    placed = _seeded_residues(good).unionByName(exon.select("seq_id", (F.col("a_start") + F.col("k")).alias("residue"), (F.col("strand") * F.col("at")).alias("pos")))
+    good = best_paths(seeded.join(home, "gene").filter("label = canonical"))
+    maps = good.unionByName(spliced.join(home, "gene").filter("not chimeric and chr = canonical").select(good.columns))
 
-    kept_ids = good.select("seq_id").unionByName(fine.select("seq_id")).distinct()
     why = labels.groupBy("gene", "seq_id").agg(F.when(F.every(F.col("label") == "Chimeric"), "Chimeric").otherwise("Noncanonical").alias("reason"))
-    wrong = why.join(kept_ids, "seq_id", "left_anti").select("seq_id", "gene", "reason")
+    wrong = why.join(maps.select("seq_id"), "seq_id", "left_anti").select("seq_id", "gene", "reason")
     unmapped = with_misses(proteins.select("seq_id", "gene"), labels, ["seq_id"])
-    return _with_letters(placed, proteins), wrong.unionByName(unmapped)
+    return maps, wrong.unionByName(unmapped)
 
 
-def align_species(mapped: DataFrame, misses: DataFrame, proteins: DataFrame) -> DataFrame:
-    """gene, seq_id, aligned: the family composed from coordinates, frame by frame, with the unmapped added in order of their ids."""
-    rows = compose_frames(mapped, ["gene"], "seq_id").drop("label").withColumn("step", F.lit(-1).cast("long"))
+def mapped_residues(maps: DataFrame, proteins: DataFrame) -> DataFrame:
+    """gene, seq_id, pos, ch: the residues of maps at the middle bases of their codons, in reading direction."""
+    exon = maps.select("seq_id", F.explode("exons").alias("e")).select("seq_id", "e.a_start", "e.strand", F.posexplode("e.centres").alias("k", "at"))
+    return _with_letters(exon.select("seq_id", (F.col("a_start") + F.col("k")).alias("residue"), (F.col("strand") * F.col("at")).alias("pos")), proteins)
+
+
+def add_unmapped(aligned: DataFrame, misses: DataFrame, proteins: DataFrame) -> DataFrame:
+    """gene, seq_id, aligned: composed rows with the unmapped added in order of their ids."""
+    rows = aligned.select("gene", "seq_id", "aligned").withColumn("step", F.lit(-1).cast("long"))
     rest = misses.join(proteins.select("seq_id", "residues"), "seq_id").select("gene", "seq_id", F.col("residues").alias("aligned"), F.col("seq_id").alias("step"))
     return merge_families(rows.unionByName(rest), "gene", "step", "seq_id", "aligned", final=False, costs=GapCosts(intron_base=0.0)).drop("row_no")
 
 
+def align_species(mapped: DataFrame, misses: DataFrame, proteins: DataFrame) -> DataFrame:
+    """gene, seq_id, aligned: the family composed from coordinates, frame by frame, with the unmapped added in order of their ids."""
+    return add_unmapped(compose_frames(mapped, ["gene"], "seq_id"), misses, proteins)
+
+
+def align_genomeless(proteins: DataFrame, most: int = 30_000) -> DataFrame:
+    """gene, seq_id, aligned: families without a genome, aligned one by one in the order of their ids.
+
+    Families of over ``most`` sequences are left out.
+    """
+    few = proteins.withColumn("n", F.count("*").over(Window.partitionBy("gene"))).filter(F.col("n") <= most)
+    rows = few.select("gene", "seq_id", F.col("residues").alias("aligned"), F.col("seq_id").alias("step"))
+    return merge_families(rows, "gene", "step", "seq_id", "aligned", final=False, costs=GapCosts(intron_base=0.0)).drop("row_no")
+
+
 def merge_species(alignments: DataFrame, steps: list[tuple[str, str]]) -> DataFrame:
     """gene, row_no, seq_id, aligned: the species' alignments (species, gene, seq_id, aligned) merged by the steps of a tree.
 

@@ -9,14 +9,37 @@ from pyspark.sql import functions as F
 
 from isoweave.functions.bio import reverse_complement
 from isoweave.operators.intervals import first_per_key
+from isoweave.operators.names import parse_headers
+from isoweave.sources.files import numbered
 
 
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     """header, sequence: one row per record, white space out of the sequence."""
-    rec = spark.read.option("lineSep", "\n>").text(path).select(F.regexp_replace("value", r"^>", "").alias("v"))
-    body = F.regexp_replace(F.regexp_replace("v", r"^[^\n]*\n?", ""), r"(?m)^\s+#.*$", "")
-    out = rec.select(F.trim(F.regexp_extract("v", r"^([^\n\r]*)", 1)).alias("header"), F.regexp_replace(body, r"\s", "").alias("sequence"))
-    return out.filter("header <> ''")
+    return _records(spark.read.option("lineSep", "\n>").text(path)).filter("header <> ''")
+
+
+def _records(text: DataFrame) -> DataFrame:
+    rec = text.withColumn("value", F.regexp_replace("value", r"^>", ""))
+    body = F.regexp_replace(F.regexp_replace("value", r"^[^\n]*\n?", ""), r"(?m)^\s+#.*$", "")
+    return rec.withColumns({"header": F.trim(F.regexp_extract("value", r"^([^\n\r]*)", 1)), "sequence": F.regexp_replace(body, r"\s", "")}).drop("value")
+
+
+def read_proteins(spark: SparkSession, path: str) -> DataFrame:
+    """seq_id, orig_name, species, gene, aliases, iso_id, comment, residues, in the order of the files; names that fit no dialect are left out."""
+    text = spark.read.option("lineSep", "\n>").text(path).filter(F.regexp_replace("value", r"^>", "").rlike(r"^[^\n\r]*[^\s]"))
+    rows = parse_headers(_records(numbered(text)))
+    rows = rows.filter("dialect <> 'reject'").withColumn("residues", F.upper("sequence"))
+    return rows.select("seq_id", F.col("header").alias("orig_name"), "species", "gene", "aliases", "iso_id", "comment", F.col("sequence").alias("original"), "residues")
+
+
+def chromosome_sizes(chunks: DataFrame, size: int = 1 << 16) -> DataFrame:
+    """chr, size: the lengths of a genome's chromosomes, from its chunks."""
+    return chunks.groupBy("chr").agg(F.max(F.col("chunk") * size + F.length("seq")).cast("long").alias("size"))
+
+
+def read_genome(spark: SparkSession, path: str, size: int = 1 << 16) -> DataFrame:
+    """chr, chunk, seq of a genome FASTA; a chromosome's name is its header's first word."""
+    return chunked(read_fasta(spark, path).select(F.regexp_extract("header", r"^(\S+)", 1).alias("chr"), "sequence"), size)
 
 
 def chunked(genome: DataFrame, size: int = 1 << 16) -> DataFrame:

@@ -176,7 +176,9 @@ def test_searches_map_what_the_seeds_miss(spark, planted):
     partly = annotations.filter("not (gene = 'g1' and line_no = 1)")
     more = [*prots, (20, "g3", "".join(novel)), (21, "g3", novel[0] + prots[0][2][:30] + novel[1]), (22, "g1", "Y" * 30)]
     proteins = spark.createDataFrame(more, "seq_id long, gene string, residues string")
-    mapped, misses = families.map_with_search(proteins, partly, chunks, sizes, 128)
+    maps, misses = families.map_with_search(proteins, partly, chunks, sizes, 128)
+    assert {r.seq_id: r.method for r in maps.collect()} == {0: "guided_spliced", 1: "seed_weave", 3: "seed_weave", 4: "seed_weave", 20: "search_spliced"}
+    mapped = families.mapped_residues(maps, proteins)
     rows = mapped.collect()
     for seq_id in (0, 1, 3, 4, 20):
         own = sorted((r for r in rows if r.seq_id == seq_id), key=lambda r: r.pos)

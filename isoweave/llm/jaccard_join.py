@@ -26,7 +26,9 @@ tokens may lose n - ceil(t n) of them to a partner and still link.
    no link that step 4 would miss; it spares it the pairs within components.
 4. The rest.  Under each key, members outside the key's largest component meet
    all members of other components, in cells of ``CELL`` by ``CELL`` rows, so that
-   no key is one task.  What fits is verified on the whole sets.
+   no key is one task.  A pair that shares several keys is taken up under the least
+   of those that are among the first ``FEW`` of both, or under all if there is none.
+   What fits is verified on the whole sets.
 
 Pairs fit if their sizes allow the threshold and so do their signatures: sets
 differ in at least as many tokens as their 512-bit parity signatures in bits.
@@ -55,6 +57,8 @@ from isoweave.llm.shingle_sets import mix, shingle_set
 FREQUENT, VERY_FREQUENT = 32, 2048
 #: Rows of a key that meet in one task; rounds of merging before the rest; ids that may be broadcast (8 MB).
 CELL, ROUNDS, BROADCAST_IDS = 2048, 4, 1 << 20
+#: First keys of a class that tell under which of them a pair is taken up.
+FEW = 64
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 _SIGN = [f"s{k}" for k in range(8)]
 
@@ -260,13 +264,17 @@ def _across(rows: DataFrame, percent: int) -> DataFrame:
     sums = each.groupBy("key").agg(F.sum("m").alias("m"), F.max(F.struct("m", "component")).alias("top"), F.count("*").alias("k")).filter("k > 1")
     sums = sums.select("key", F.ceil(F.col("m") / CELL).alias("wide"), F.ceil((F.col("m") - F.col("top.m")) / CELL).alias("high"), F.col("top.component").alias("top"))
     known = rows.join(sums, "key")
+    few = known.groupBy(F.col("r.sid").alias("sid")).agg(F.slice(F.array_sort(F.collect_list("key")), 1, FEW).alias("few"))  # a set's keys at most
+    known = known.withColumn("sid", F.col("r.sid")).join(few, "sid").drop("sid")
     row, col = F.pmod(F.xxhash64("r.sid"), F.col("high")), F.pmod(F.xxhash64("r.sid"), F.col("wide"))
-    x = known.filter("r.component <> top").select("key", row.alias("i"), F.explode(F.sequence(F.lit(0), F.col("wide").cast("int") - 1)).alias("j"), F.col("r").alias("x"), F.col("top").alias("t"))
-    y = known.select("key", F.explode(F.sequence(F.lit(0), F.col("high").cast("int") - 1)).alias("i"), col.alias("j"), F.col("r").alias("y"))
+    x = known.filter("r.component <> top").select("key", row.alias("i"), F.explode(F.sequence(F.lit(0), F.col("wide").cast("int") - 1)).alias("j"), F.col("r").alias("x"), F.col("few").alias("fx"), F.col("top").alias("t"))
+    y = known.select("key", F.explode(F.sequence(F.lit(0), F.col("high").cast("int") - 1)).alias("i"), col.alias("j"), F.col("r").alias("y"), F.col("few").alias("fy"))
     x, y = x.withColumn("i", F.col("i").cast("int")), y.withColumn("j", F.col("j").cast("int"))
     # two members outside the largest component meet twice; they count once
     once = (F.col("y.component") == F.col("t")) | (F.col("x.sid") < F.col("y.sid"))
-    on = (F.col("x.component") != F.col("y.component")) & once & _fits("x", "y", percent)
+    # and a pair under the least key that both have among their first ones, if there is any
+    here = F.coalesce(F.array_min(F.array_intersect("fx", "fy")), F.col("key")) == F.col("key")
+    on = (F.col("x.component") != F.col("y.component")) & once & _fits("x", "y", percent) & here
     met = x.join(y, ["key", "i", "j"]).filter(on).select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b"))
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 

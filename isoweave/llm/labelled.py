@@ -13,7 +13,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
 
     Among rows that ``keep`` (a condition on the id column) leaves; rows with a
     null id or label are left out, and an id labelled twice counts once, with
-    the smaller label.
+    the smaller label.  Of several texts with one id the least one stands for all.
     """
     need(docs, id_col, text_col)
     need(labels, id_col, label)
@@ -25,4 +25,5 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
     order = [F.xxhash64("id"), F.col("id")]
     ids = known.filter("label = 0").orderBy(*order).limit(per_class).unionByName(known.filter("label = 1").orderBy(*order).limit(per_class))
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return texts.join(F.broadcast(ids), "id"), counts  # 2 * per_class ids at most
+    own = texts.join(F.broadcast(ids), "id")  # 2 * per_class ids at most
+    return own.groupBy("id", "label").agg(F.min("text").alias("text")).select("id", "text", "label"), counts  # and one text of each

@@ -7,9 +7,12 @@ their document counts, and among those a greedy cover of the toxic documents
 (each until ``COVER`` chosen terms hit it), so that words which only stand
 beside toxic ones don't get in.
 
-The labels say only toxic or not, so grades come from labels and text: grade 0
-is not toxic; toxic documents fall into grades 1 to 3 by the terciles of how
-many of their words hit a chosen term.  A document's features are log(1 + count)
+The labels say only toxic or not.  Grade 0 is not toxic; toxic documents fall into
+grades 1 to 3 by how toxic they look to scorers that haven't seen them: the sample
+is dealt into ``PARTS`` by a hash of the id, and a document's score is the sum of the
+log odds of its terms among the documents of the other parts.  Terciles of that
+score are the grades, so what a term weighs comes from how it stands with the
+labels, not from how often it is said.  A document's features are log(1 + count)
 of each term and of all hits together.  P(grade <= k) = sigmoid(cut_k - w.x),
 with one weight vector for all ordered cuts; the sample's classes are weighted
 back to their shares among all labels.  Expected severity is the mean grade.  A
@@ -23,6 +26,7 @@ depends on the text only; a null id is kept; extra columns are ignored.
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -34,7 +38,7 @@ from pyspark.sql import functions as F
 from isoweave.llm.common import Workspace, need
 from isoweave.llm.labelled import labelled_sample
 
-PER_CLASS, TERMS, COVER, GRADES = 4000, 2000, 3, 4
+PER_CLASS, TERMS, COVER, GRADES, PARTS = 4000, 2000, 3, 4, 5
 #: A term must gain at least so many toxic documents, and this share of them.
 LEAST_DOCS, LEAST_SHARE = 5, 0.01
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -90,6 +94,18 @@ def cover(hits: list[list[int]], toxic: np.ndarray, size: int) -> list[int]:
         docs[-k] = []
 
 
+def held_out_scores(hits: list[list[list[int]]], toxic: np.ndarray, part: np.ndarray, size: int) -> np.ndarray:
+    """Per document the log odds of its terms, summed, as the documents of all other parts have them."""
+    terms = [sorted({k for own in h for k in own}) for h in hits]
+    total, seen = np.zeros((PARTS, 2)), np.zeros((PARTS, 2, size))
+    for own, t, p in zip(terms, toxic.astype(int), part, strict=True):
+        total[p, t] += 1
+        seen[p, t, own] += 1
+    total, seen = total.sum(0) - total, seen.sum(0) - seen
+    odds = np.log((seen + 0.5) / (total[:, :, None] + 1))
+    return np.array([(odds[p, 1, own] - odds[p, 0, own]).sum() for own, p in zip(terms, part, strict=True)])
+
+
 class OrdinalModel:
     """Chosen terms, weights and ordered cuts."""
 
@@ -168,9 +184,10 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", pe
     chosen = cover([[k for own in r["hits"] for k in own] for r in rows], toxic, len(terms))
     place = {k: n for n, k in enumerate(chosen)}
     hits = [[kept for own in r["hits"] if (kept := [place[k] for k in own if k in place])] for r in rows]
-    n_hits = np.array([len(h) for h in hits])
-    cuts = np.quantile(n_hits[toxic & (n_hits > 0)], [1 / 3, 2 / 3]) if (toxic & (n_hits > 0)).any() else np.array([1.0, 2.0])
-    grade = np.where(toxic, 1 + np.searchsorted(cuts, n_hits), 0)
+    part = np.array([zlib.crc32(b"%d" % r["id"]) % PARTS for r in rows])
+    severe = held_out_scores(hits, toxic, part, len(chosen))
+    cuts = np.quantile(severe[toxic], [1 / 3, 2 / 3])
+    grade = np.where(toxic, 1 + np.searchsorted(cuts, severe), 0)
     weight = np.where(toxic, counts[1] / sizes[1], counts[0] / sizes[0])
     x = [OrdinalModel.features(h, len(chosen)) for h in hits]
     return OrdinalModel([terms[k] for k in chosen], *fit_ordinal(x, grade, weight, len(chosen)))

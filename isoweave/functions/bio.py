@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -56,9 +58,30 @@ def codon(three: Column) -> Column:
 
 
 def translate_frame(nucl: Column, frame: int = 0) -> Column:
-    """The whole codons of a reading frame (0, 1 or 2); empty if there is none."""
-    rest = F.substr(nucl, F.lit(frame + 1)) if frame else nucl
-    return F.array_join(F.transform(F.regexp_extract_all(rest, F.lit("(...)"), 1), codon), "")
+    """The whole codons of a reading frame (0, 1 or 2); empty if there is none.
+
+    Codons of a batch are looked up in one table, as arrays; a lambda a codon would be interpreted.
+    """
+
+    @F.pandas_udf("string")
+    def translated(texts: pd.Series) -> pd.Series:
+        base = np.full(256, 4)
+        for k, c in enumerate("ACGT"):
+            base[[ord(c), ord(c.lower())]] = k
+        base[[ord("U"), ord("u")]] = 3
+        table = np.full((5, 5, 5), ord("X"), np.uint8)
+        table[:4, :4, :4] = np.frombuffer(CODONS.encode(), np.uint8).reshape(4, 4, 4)
+
+        def one(text: str | None) -> str | None:
+            if text is None:
+                return None
+            x = base[np.frombuffer(text[frame:].encode("latin-1", "replace"), np.uint8)]
+            n = len(x) // 3
+            return table[tuple(x[: 3 * n].reshape(n, 3).T)].tobytes().decode()
+
+        return pd.Series([one(t) for t in texts], dtype=object)
+
+    return translated(nucl)
 
 
 def reverse_complement(nucl: Column) -> Column:

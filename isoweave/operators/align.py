@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from isoweave.functions.bio import AMINO, SCORES
+from isoweave.operators.grouped import dealt
 
 _INDEX = {c: k for k, c in enumerate(AMINO)}
 _TABLE = np.array(SCORES, np.float32)
@@ -46,8 +47,8 @@ def profile(rows: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return share, boundary, near
 
 
-def align(a: list[str], b: list[str], costs: GapCosts = GapCosts()) -> tuple[list[str], list[str], float]:
-    """The best alignment of two framed profiles, as two sets of rows of one width, and its score.
+def align(a: list[str], b: list[str], costs: GapCosts = GapCosts(), trace: bool = True) -> tuple[list[str], list[str], float]:
+    """The best alignment of two framed profiles, as two sets of rows of one width, and its score; without ``trace`` the score alone.
 
     Match, insert (a gap in ``a``) and delete (a gap in ``b``) states; no insert
     follows a delete or the other way round.  Ties prefer insert, then delete,
@@ -65,7 +66,7 @@ def align(a: list[str], b: list[str], costs: GapCosts = GapCosts()) -> tuple[lis
         start[ia[:, None] & ~ib[None, :]] = np.broadcast_to(cost(nb)[None, :], (n, m))[ia[:, None] & ~ib[None, :]]
         start[~ia[:, None] & ib[None, :]] = np.broadcast_to(cost(na)[:, None], (n, m))[~ia[:, None] & ib[None, :]]
     inf = np.float32(-np.inf)
-    came = np.zeros((n, m), np.uint8)  # bits 0-1: before a match; bit 2: insert opened; bit 3: delete opened
+    came = np.zeros((n, m) if trace else (0, 0), np.uint8)  # bits 0-1: before a match; bit 2: insert opened; bit 3: delete opened
     # the state of cell (i, d - i) stands at i; two diagonals back, one back, now
     empty = lambda: np.full(n, inf, np.float32)
     m2, i2, d2, m1, i1, d1 = (empty() for _ in range(6))
@@ -81,7 +82,6 @@ def align(a: list[str], b: list[str], costs: GapCosts = GapCosts()) -> tuple[lis
             up = np.maximum(i - 1, 0)
             prev = np.stack((m2[up], i2[up], d2[up]))
             best = np.maximum(np.maximum(prev[1], prev[2]), prev[0])
-            pick = np.where(prev[1] >= best, 1, np.where(prev[2] >= best, 2, 0))
             m0[i] = np.where(inner, best + sub[i, j], inf)
             open_i, ext_i = m1[i] + start[i, j], i1[i] + np.float32(costs.extend)
             open_d, ext_d = m1[up] + start[i, j], d1[up] + np.float32(costs.extend)
@@ -89,10 +89,14 @@ def align(a: list[str], b: list[str], costs: GapCosts = GapCosts()) -> tuple[lis
             edge_d = np.where(i == 1, np.float32(costs.open), np.float32(costs.open) + (i - 1) * np.float32(costs.extend))
             i0[i] = np.where(inner, np.maximum(open_i, ext_i), np.where(i == 0, edge_i, inf))
             d0[i] = np.where(inner, np.maximum(open_d, ext_d), np.where(j == 0, edge_d, inf))
-            opened_i, opened_d = (ext_i < open_i) | (~inner & (j == 1)), (ext_d < open_d) | (~inner & (i == 1))
-            came[i, j] = pick | (opened_i.astype(np.uint8) << 2) | (opened_d.astype(np.uint8) << 3)
+            if trace:
+                pick = np.where(prev[1] >= best, 1, np.where(prev[2] >= best, 2, 0))
+                opened_i, opened_d = (ext_i < open_i) | (~inner & (j == 1)), (ext_d < open_d) | (~inner & (i == 1))
+                came[i, j] = pick | (opened_i.astype(np.uint8) << 2) | (opened_d.astype(np.uint8) << 3)
         m2, i2, d2, m1, i1, d1 = m1, i1, d1, m0, i0, d0
     score = float(m1[n - 1])
+    if not trace:
+        return [], [], score
     steps, i, j, state = [], n - 1, m - 1, 0
     while True:
         steps.append(state)
@@ -151,7 +155,7 @@ def merge_families(seqs: DataFrame, key: str, order: str, seq_id: str, aligned:
         return pd.DataFrame({key: pdf[key].to_numpy(), "row_no": np.arange(len(pdf)), seq_id: pdf[seq_id].to_numpy(), "aligned": rows})
 
     kinds = dict(seqs.dtypes)
-    return seqs.select(key, order, seq_id, aligned).groupBy(key).applyInPandas(run, f"{key} {kinds[key]}, row_no long, {seq_id} {kinds[seq_id]}, aligned string")
+    return dealt(seqs.select(key, order, seq_id, aligned), [key]).groupBy(key).applyInPandas(run, f"{key} {kinds[key]}, row_no long, {seq_id} {kinds[seq_id]}, aligned string")
 
 
 def merge_by_steps(seqs: DataFrame, steps: list[tuple[str, str]], key: str, member: str, seq_id: str, aligned: str, *, costs: GapCosts = GapCosts()) -> DataFrame:
@@ -188,7 +192,7 @@ def merge_by_steps(seqs: DataFrame, steps: list[tuple[str, str]], key: str, memb
 
     kinds = dict(seqs.dtypes)
     known = seqs.select(key, *[F.coalesce(c, F.lit("")).alias(c) for c in (member, aligned)], seq_id)
-    return known.groupBy(key).applyInPandas(run, f"{key} {kinds[key]}, row_no long, {seq_id} {kinds[seq_id]}, aligned string")
+    return dealt(known, [key]).groupBy(key).applyInPandas(run, f"{key} {kinds[key]}, row_no long, {seq_id} {kinds[seq_id]}, aligned string")
 
 
 def pair_scores(pairs: DataFrame, a: str, b: str, out: str = "score", costs: GapCosts = GapCosts(unspliced=True)) -> DataFrame:
@@ -196,6 +200,6 @@ def pair_scores(pairs: DataFrame, a: str, b: str, out: str = "score", costs: Gap
 
     @F.pandas_udf("double")
     def score(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([align(framed([p]), framed([q]), costs)[2] for p, q in zip(x, y, strict=True)], dtype=float)
+        return pd.Series([align(framed([p]), framed([q]), costs, trace=False)[2] for p, q in zip(x, y, strict=True)], dtype=float)
 
     return pairs.withColumn(out, score(a, b))

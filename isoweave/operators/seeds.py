@@ -2,8 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
+
+from isoweave.operators.grouped import dealt
 
 
 def kmers(df: DataFrame, keys: list[str], seq: str, k: int, step: int = 1, out: str = "pos") -> DataFrame:
@@ -34,11 +42,31 @@ def mismatches(q: Column, t: Column, diag: Column) -> Column:
 
 
 def extend(diagonals: DataFrame, query: DataFrame, target: DataFrame, keys: list[str], allow: int = 2) -> DataFrame:
-    """Adds start and end: the seeds' stretch grown both ways, up to the mismatch after ``allow`` more."""
-    both = diagonals.join(query.withColumnsRenamed({"id": "q", "seq": "qs"}), [*keys, "q"]).join(target.withColumnsRenamed({"id": "t", "seq": "ts"}), [*keys, "t"])
-    lo = F.greatest(F.lit(0), -F.col("diag"))
-    hi = F.least(F.length("qs") - 1, F.length("ts") - 1 - F.col("diag"))
-    both = both.withColumn("mm", mismatches(F.col("qs"), F.col("ts"), F.col("diag")))
-    left = F.try_element_at(F.filter("mm", lambda i: i < F.col("s0")), F.lit(-allow - 1))
-    right = F.try_element_at(F.filter("mm", lambda i: i > F.col("e0")), F.lit(allow + 1))
-    return both.withColumns({"start": F.coalesce(left + 1, lo), "end": F.coalesce(right - 1, hi)}).drop("qs", "ts", "mm")
+    """Adds start and end: the seeds' stretch grown both ways, up to the mismatch after ``allow`` more.
+
+    The diagonals of two sequences travel together, with one copy of each sequence;
+    a diagonal of the two is compared once, as one array against a shift of the other.
+    """
+    kinds = dict(diagonals.dtypes)
+    own = [c for c in diagonals.columns if c not in (*keys, "q", "t")]
+    pairs = diagonals.groupBy(*keys, "q", "t").agg(F.collect_list(F.struct(*own)).alias("own"))
+    both = pairs.join(query.withColumnsRenamed({"id": "q", "seq": "qs"}), [*keys, "q"]).join(target.withColumnsRenamed({"id": "t", "seq": "ts"}), [*keys, "t"])
+    head = [*keys, "q", "t"]
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in (*head, *own)) + ", start int, end int"
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            for *names, found, q, t in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                a, b = (np.frombuffer(x.encode("utf-32-le"), np.uint32) for x in (q, t))
+                for d in found:
+                    lo, hi = max(0, -d["diag"]), min(len(a) - 1, len(b) - 1 - d["diag"])
+                    unlike = lo + np.flatnonzero(a[lo : hi + 1] != b[lo + d["diag"] : hi + 1 + d["diag"]])
+                    left, right = unlike[: np.searchsorted(unlike, d["s0"])], unlike[np.searchsorted(unlike, d["e0"], "right") :]
+                    out.append((*names, *d.values(), int(left[-allow - 1]) + 1 if len(left) > allow else lo, int(right[allow]) - 1 if len(right) > allow else hi))
+            columns = zip(*out, strict=True) if out else [[]] * len(arrow)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
+
+    dealt_out = dealt(both.select(*head, "own", "qs", "ts"), ["q", "t"])
+    return dealt_out.mapInArrow(run, schema)

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from isoweave.functions import bio
-from isoweave.operators import align, frames, intervals, mapping, msa, names, repair, seeds
+from isoweave.operators import align, frames, intervals, mapping, msa, names, repair, search, seeds, spliced, weave
 from isoweave.sources import text as sources
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -465,6 +465,110 @@ def repaired_alignment(t):
     return repair.repair_families(msa.compose(m, ["g"], "s"), ["g"], "s")
 
 
+EXON, SPACING = 120, 480
+
+
+def coded_genes(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """(windows, proteins): every document's bases as a gene with an exon of 120 bases in every 480, and the protein that its open codons spell."""
+    n = nucleotides(t).filter(f"length(bases) >= {EXON + 72}")
+    at = F.explode(F.sequence(F.lit(37).cast("long"), F.length("bases").cast("long") - EXON - 35, F.lit(SPACING).cast("long")))
+    own = n.select(F.col("seq_id").cast("string").alias("gene"), "seq_id", "bases", at.alias("first"))
+    piece = own.withColumn("nucls", F.substr("bases", (F.col("first") - 36).cast("int"), F.lit(EXON + 72)))
+    windows = piece.select("gene", F.col("gene").alias("chr"), F.lit(1).alias("strand"), ((F.col("first") - 37) / SPACING).cast("int").alias("exon_no"), (F.col("first") - 36).alias("n_first"), "nucls", F.lit(EXON).alias("inner"))
+    inner = bio.translate_frame(F.substr("nucls", F.lit(37), F.lit(EXON)))
+    parts = piece.select("seq_id", "gene", "first", F.translate(inner, "*", "").alias("part"))
+    protein = parts.groupBy("seq_id", "gene").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("first", "part"))), lambda x: x["part"]), "").alias("residues"))
+    return windows, protein
+
+
+@query()
+def exon_hits(t):
+    """Ungapped hits of each document's protein in the exon windows of its own bases."""
+    return mapping.exon_hits(*coded_genes(t)).select("seq_id", "exon_no", "frame", "a_start", "a_end", "n_start", "n_end", "score")
+
+
+@query()
+def woven_paths(t):
+    """Best splice paths through those hits."""
+    windows, proteins_ = coded_genes(t)
+    paths = weave.weave(mapping.exon_hits(windows, proteins_), proteins_)
+    return paths.select("seq_id", "path", F.round("score", 4).alias("score"), "a_start", "a_end", F.size("exons").cast("long").alias("n_exons"), "full")
+
+
+def item_proteins(t: Tables) -> DataFrame:
+    """Benchmark items as proteins: the open codons of their bases."""
+    bases = F.translate("seq", bio.AMINO, _TO_BASES)
+    return items(t).select(F.col("id").alias("seq_id"), F.translate(bio.translate_frame(bases), "*", "").alias("residues")).filter("residues <> ''")
+
+
+def document_genome(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """(chunks, sizes): every document's bases as a chromosome."""
+    n = nucleotides(t).filter("bases <> ''").select(F.col("seq_id").cast("string").alias("chr"), F.col("bases").alias("sequence"))
+    return sources.chunked(n, GENOME_CHUNK), n.select("chr", F.length("sequence").cast("long").alias("size"))
+
+
+GENOME_CHUNK = 4096
+
+
+@query()
+def translated_hits(t):
+    """Benchmark items searched in all six frames of all documents."""
+    return search.translated_search(item_proteins(t), *document_genome(t), GENOME_CHUNK)
+
+
+@query()
+def planned_searches(t):
+    """The ranges that the first stage of the spliced search would look through, for those hits."""
+    chunks, sizes = document_genome(t)
+    seqs = item_proteins(t)
+    hits = search.translated_search(seqs, chunks, sizes, GENOME_CHUNK)
+    return search.planned_ranges(hits, seqs, sizes, 1, 10_000_000)
+
+
+@query()
+def spliced_hits(t):
+    """Each item aligned, with introns, to the stretch of a document that its hits span and 200 bases around."""
+    chunks, sizes = document_genome(t)
+    seqs = item_proteins(t)
+    hits = search.translated_search(seqs, chunks, sizes, GENOME_CHUNK)
+    lo, hi = F.min(F.least("n_start", "n_end")), F.max(F.greatest("n_start", "n_end"))
+    span = hits.groupBy("seq_id", "chr", "strand").agg(lo.alias("lo"), hi.alias("hi")).join(sizes, "chr")
+    a, b = F.greatest(F.col("lo") - 200, F.lit(1)), F.least(F.col("hi") + 200, F.col("size"))
+    ahead = F.col("strand") > 0
+    searches = span.select("seq_id", F.xxhash64("chr", "strand").alias("search"), F.lit(0).alias("part"), "chr", F.when(ahead, a).otherwise(b).alias("a"), F.when(ahead, b).otherwise(a).alias("b"))
+    found = spliced.spliced_residues(seqs, searches, chunks, GENOME_CHUNK)
+    return found.groupBy("seq_id", "search", "score").agg(F.count("*").alias("n_residues"), F.count_if("same").alias("n_same"), F.countDistinct("exon").alias("n_exons"))
+
+
+@query("""with c as (select l_orderkey as k, l_linenumber as i, l_partkey as p, case when l_discount > 0.02 then floor(l_quantity) else 0 end as v from lineitem),
+b as (select *, coalesce(max(v) over (partition by k order by i, p rows between unbounded preceding and 1 preceding), 0) as top from c),
+s as (select *, sum(case when top > 0 and v <= top then 1 else 0 end) over (partition by k order by i, p rows unbounded preceding) as stops from b),
+r as (select *, row_number() over (partition by k order by v desc, i, p) as n from s where stops = 0 and v > 0)
+select k, i::bigint as i, v::bigint as v from r where n = 1""")
+def best_before_stop(t):
+    v = F.when(F.col("l_discount") > 0.02, F.floor("l_quantity")).otherwise(0)
+    c = t.lineitem.select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").cast("long").alias("i"), F.col("l_partkey").alias("p"), v.alias("v"))
+    return search.best_before_stop(c, ["k"], ["i", "p"], "v").drop("p")
+
+
+@query("""with h as (select user_id as seq_id, event_type as chr, floor(value)::bigint as a, floor(value)::bigint + event_id % 40 as b from events),
+m as (select *, max(b) over (partition by seq_id, chr order by a, b rows between unbounded preceding and 1 preceding) as reach from h),
+g as (select *, sum(case when a > reach + 25 then 1 else 0 end) over (partition by seq_id, chr order by a, b rows unbounded preceding) as grp from m),
+s as (select seq_id, chr, grp, max(b) - min(a) + 1 as n from g group by all)
+select seq_id, chr, sum(n)::bigint as covered from s group by all""")
+def chromosome_coverage(t):
+    a = F.floor("value")
+    h = t.events.select(F.col("user_id").alias("seq_id"), F.col("event_type").alias("chr"), F.lit(1).alias("strand"), a.alias("a_start"), (a + F.col("event_id") % 40).alias("a_end"))
+    return search.coverage(search.hit_groups(h)).drop("strand")
+
+
+@query("select l_orderkey as k, arg_max(l_linenumber, l_shipdate::varchar || lpad(l_linenumber::varchar, 3, '0'))::bigint as i from lineitem group by l_orderkey")
+def last_written_wins(t):
+    order = F.struct("l_shipdate", "l_linenumber")
+    m = t.lineitem.select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").cast("long").alias("i"), order.alias("written"))
+    return search.last_written(m, ["k"], "written").select("k", "i")
+
+
 _ROWS = ", ".join("[" + ", ".join(str(x) for x in row) + "]" for row in bio.SCORES)
 
 

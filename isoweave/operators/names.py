@@ -56,10 +56,25 @@ def parse_headers(df: DataFrame, header: str = "header") -> DataFrame:
 
 
 def unique_ids(df: DataFrame, keys: list[str], id_col: str, order: list[str], out: str = "unique_id") -> DataFrame:
-    """An id for each row, unique within ``keys``: the given one, then with .1, .2, ...; without one, 1, 2, ..."""
-    k = F.row_number().over(Window.partitionBy(*keys, F.col(id_col)).orderBy(*order))
+    """An id for each row, unique within ``keys``: the given one, then with .1, .2, ...; without one, 1, 2, ...
+
+    The first row that gives an id keeps it, whatever others are made: a made id
+    that some row gives itself passes on to the next number that nobody gives.
+    """
     own = F.col(id_col).cast("string")
-    return df.withColumn(out, F.when(own.isNull(), k.cast("string")).when(k == 1, own).otherwise(F.concat(own, F.lit("."), k - 1)))
+    nth = F.row_number().over(Window.partitionBy(*keys, own).orderBy(*order))
+    rows = df.withColumn("__own", own).withColumn("__nth", nth)
+    # the numbers that literal ids take: of 7.2 the number 2 of 7, of 3 the number 3 of none
+    literal = df.filter(own.isNotNull()).select(*keys, own.alias("__id")).distinct()
+    dotted = literal.filter(F.col("__id").rlike(r"^.*\.[1-9][0-9]{0,8}$")).select(*keys, F.regexp_extract("__id", r"^(.*)\.[0-9]+$", 1).alias("__own"), F.regexp_extract("__id", r"\.([0-9]+)$", 1).cast("long").alias("__taken"))
+    plain = literal.filter(F.col("__id").rlike("^[1-9][0-9]{0,8}$")).select(*keys, F.lit(None).cast("string").alias("__own"), F.col("__id").cast("long").alias("__taken"))
+    taken = dotted.unionByName(plain).groupBy(*keys, "__own").agg(F.array_sort(F.collect_list("__taken")).alias("__taken"))
+    met = rows.alias("r").join(taken.alias("t"), [*[F.col(f"r.{k}").eqNullSafe(F.col(f"t.{k}")) for k in keys], F.col("r.__own").eqNullSafe(F.col("t.__own"))], "left").select("r.*", "t.__taken")
+    # the k-th number that isn't taken: each taken one up to it moves it on
+    k = F.when(F.col("__own").isNull(), F.col("__nth")).otherwise(F.col("__nth") - 1).cast("long")
+    free = F.aggregate(F.coalesce("__taken", F.array().cast("array<bigint>")), k, lambda n, x: F.when(x <= n, n + 1).otherwise(n))
+    made = F.when(F.col("__own").isNull(), free.cast("string")).when(F.col("__nth") == 1, F.col("__own")).otherwise(F.concat("__own", F.lit("."), free.cast("string")))
+    return met.withColumn(out, made).drop("__own", "__nth", "__taken")
 
 
 def alias_lists(df: DataFrame, gene: str, alias: str) -> DataFrame:

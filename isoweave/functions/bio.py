@@ -158,3 +158,20 @@ def mapping_notes(rearranged: Column, pct_id: Column, low: float = 90.0) -> Colu
     b = F.when(pct_id < low, F.concat(F.lit("low quality mapping: "), pct_id.cast("string"), F.lit("% identity")))
     said = F.concat_ws("; ", a, b)
     return F.when(said != "", said)
+
+
+def is_exon_case(c: Column) -> Column:
+    """Whether a character is an exon's: upper case, where introns and flanks are in lower case."""
+    return (c == F.upper(c)) & (c != F.lower(c))
+
+
+def titled(name: Column) -> Column:
+    """A species name for people: blanks for ``_``, each word with a capital, also behind an opening parenthesis; words with ``/`` stay."""
+    words = F.split(F.replace(name, F.lit("_"), F.lit(" ")), " ")
+
+    def word(w: Column) -> Column:
+        first, rest = F.substring(w, 1, 1), F.substr(w, F.lit(2))
+        inner = F.concat(F.lit("("), F.upper(F.substring(w, 2, 1)), F.substr(w, F.lit(3)))
+        return F.when(first == "(", inner).when(w.contains("/"), w).otherwise(F.concat(F.upper(first), rest))
+
+    return F.array_join(F.transform(words, word), " ")

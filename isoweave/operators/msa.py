@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from isoweave.operators.intervals import islands
@@ -20,10 +20,14 @@ def rows_of(c: DataFrame, keys: list[str], out: str = "aligned") -> DataFrame:
     return c.groupBy(*keys).agg(F.array_join(F.transform(own, lambda x: x["ch"]), "").alias(out))
 
 
-def column_profile(c: DataFrame, group: list[str]) -> DataFrame:
-    """Per column: n_distinct, top_ch, top_n; of equally common characters the smallest is top."""
+def column_profile(c: DataFrame, group: list[str], ignore: Column | None = None, prefer: str | None = None) -> DataFrame:
+    """Per column: n_distinct, top_ch, top_n; of equally common characters ``prefer``, if it is one of them, or the smallest is top.
+
+    Cells for which ``ignore`` is true (a row's own, say) don't count.
+    """
+    c = c if ignore is None else c.filter(~ignore)
     n = c.groupBy(*group, "col", "ch").agg(F.count("*").alias("n"))
-    top = F.min_by(F.struct("ch", "n"), F.struct((-F.col("n")).alias("k"), "ch"))
+    top = F.min_by(F.struct("ch", "n"), F.struct((-F.col("n")).alias("k"), (F.col("ch") != F.lit(prefer or "")).alias("other"), "ch"))
     out = n.groupBy(*group, "col").agg(F.count("*").alias("n_distinct"), top.alias("top"))
     return out.select(*group, "col", "n_distinct", F.col("top.ch").alias("top_ch"), F.col("top.n").alias("top_n"))
 

@@ -25,7 +25,7 @@ from isoweave.operators.frames import compose_frames
 from isoweave.operators.repair import repair_families
 from isoweave.plans.families import add_unmapped, align_genomeless, map_with_search, mapped_residues, merge_species
 from isoweave.sources import files
-from isoweave.sources.text import chromosome_sizes, merge_steps, read_annotations, read_genome, read_guide, read_proteins
+from isoweave.sources.text import checked_guide, chromosome_sizes, merge_steps, read_annotations, read_genome, read_guide, read_proteins
 
 MISC = "misc"
 
@@ -97,6 +97,7 @@ def run(spark: SparkSession, proteins_path: str, guide_path: str, out: str, opti
     """Run everything and return the names of the species that had sequences."""
     guide_text = spark.read.text(guide_path, wholetext=True).first()
     tree, guide = read_guide(guide_text.value if guide_text else "")
+    guide = checked_guide(spark, guide)
     proteins = kept(read_proteins(spark, proteins_path))
     known = [name for name, *_ in guide]
     proteins = proteins.withColumn("species", F.when(F.col("species").isin(known), F.col("species")).otherwise(MISC))

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from isoweave.functions.bio import reverse_complement
@@ -96,6 +97,63 @@ def read_search_hits(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, sep="\t", schema="seq_id string, chr string, pct double, len int, mism int, gaps int, a_start int, a_end int, n_start long, n_end long, evalue double, score double")
 
 
+def repaired_tree(text: str) -> str:
+    """A Newick tree with the commas that it lacks between clades, and between a clade and a name; closed within one pair of parentheses."""
+    text = re.sub(r"\s+", " ", text.strip().rstrip(";"))
+    text = re.sub(r"\s*([(),])\s*", r"\1", text)
+    text = re.sub(r"\)\(", "),(", text)
+    text = re.sub(r"([^(),])\(", r"\1,(", text)
+    text = re.sub(r"(?<=[^(),:]) (?=[^(),:])", ",", text)
+    if text.count("(") != text.count(")"):
+        raise ValueError(f"{text.count('(')} opening and {text.count(')')} closing parentheses")
+    depth = 0
+    for k, c in enumerate(text):
+        depth += (c == "(") - (c == ")")
+        if depth < 0:
+            raise ValueError(f"a parenthesis closes at {k} that none opened")
+        if depth == 0 and c == ",":
+            return f"({text})"
+    return text
+
+
+def checked_guide(spark: SparkSession, rows: list[tuple[str, str, str | None]], home: str | None = None) -> list[tuple[str, str, str | None]]:
+    """A guide's rows with ``~`` as the home folder; an error names every file that doesn't exist, and species listed twice."""
+    home = home or os.path.expanduser("~")
+    out = [(name, *(None if p is None else home + p[1:] if p == "~" or p.startswith("~/") else p for p in paths)) for name, *paths in rows]
+    context = spark.sparkContext
+
+    def there(path: str) -> bool:
+        p = context._jvm.org.apache.hadoop.fs.Path(path)
+        return p.getFileSystem(context._jsc.hadoopConfiguration()).exists(p)
+
+    wrong = [f"{name}: no file {p}" for name, *paths in out for p in paths if p is not None and not there(p)]
+    names = [name for name, *_ in out]
+    wrong += sorted({f"{n}: listed twice" for n in names if names.count(n) > 1})
+    if wrong:
+        raise ValueError("; ".join(wrong))
+    return out
+
+
+def species_names(spark: SparkSession, path: str) -> DataFrame:
+    """latin, english: a file of ``latin = english`` lines, in lower case with ``_`` for blanks."""
+    parts = F.regexp_extract("value", r"^\s*([^=]+?)\s*=\s*([^=]+?)\s*$", 1), F.regexp_extract("value", r"^\s*([^=]+?)\s*=\s*([^=]+?)\s*$", 2)
+    named = [F.regexp_replace(F.lower(p), r"\s", "_") for p in parts]
+    return spark.read.text(path).select(named[0].alias("latin"), named[1].alias("english")).filter("latin <> ''").distinct()
+
+
+def in_english(df: DataFrame, names: DataFrame, species: str = "species") -> DataFrame:
+    """``df`` with Latin species names in English where ``names`` has them."""
+    met = df.join(names, F.col(species) == F.col("latin"), "left")
+    return met.withColumn(species, F.coalesce("english", species)).select(*df.columns)
+
+
+def guide_text(guide: DataFrame, tree: str | None = None) -> str:
+    """The guide file of (species, genome_path, gtf_path or null): the tree, then a line a species, names padded to one width."""
+    width = F.max(F.length("species")).over(Window.partitionBy())
+    rows = guide.withColumn("w", width).select(F.expr("rpad(species, w, ' ')").alias("s"), "genome_path", F.coalesce("gtf_path", F.lit("-")).alias("g")).orderBy("s").collect()  # a row a species
+    return "\n".join([*([tree] if tree else []), *(f"{r.s}  {r.genome_path}  {r.g}" for r in rows)]) + "\n"
+
+
 def read_guide(text: str) -> tuple[str | None, list[tuple[str, str, str | None]]]:
     """(tree or None, rows of species, genome, annotations or None) of a species guide."""
     tree, rows = None, []
@@ -116,7 +174,7 @@ def _tree(text: str) -> list | str:
         raise ValueError("parentheses don't match")
     top: list = []
     open_lists, closed = [top], False
-    for token in re.findall(r"[(),;]|[^(),;\s]+", text):
+    for token in re.findall(r"[(),;]|[^(),;\s]+", repaired_tree(text)):
         if token == "(":
             open_lists[-1].append([])
             open_lists.append(open_lists[-1][-1])

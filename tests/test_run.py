@@ -42,7 +42,7 @@ def inputs(tmp_path_factory):
             proteins.append((f"{species}|{gene}|2 # short", (parts[0] + parts[2]).lower()))
     proteins += [("human|g1|x", "W" * 30), ("newt|g1|1", exons["g1"][0] + exons["g1"][1]), ("newt|g3|1", "MKWVTFISLL"), ("not a name", "MK")]
     (folder / "p.fa").write_text("\n".join(f">{n}\n{s[:40]}\n{s[40:]}" for n, s in proteins) + "\n")
-    (folder / "guide").write_text(f"(human,mouse)\nhuman {folder}/human.fa {folder}/human.gtf\nmouse {folder}/mouse.fa {folder}/mouse.gtf\nrat {folder}/none.fa -\n")
+    (folder / "guide").write_text(f"(human,mouse)\nhuman {folder}/human.fa {folder}/human.gtf\nmouse {folder}/mouse.fa {folder}/mouse.gtf\nrat {folder}/human.fa -\n")
     return folder, {n: s for n, s in proteins if n != "not a name"}
 
 
@@ -76,3 +76,10 @@ def test_maps_only(spark, inputs, tmp_path):
     found = {str(p.relative_to(out)) for p in out.rglob("*") if p.is_file()}
     assert found == {"Mappings-by-Gene/g1/human.mappings", "Mappings-by-Gene/g1/mouse.mappings", "Mappings-by-Gene/g2/human.mappings", "Mappings-by-Gene/g1/human.misses", "Mappings-by-Gene/g2/mouse.misses", "Mapping-Misses/human.misses", "Mapping-Misses/mouse.misses"}
     assert (out / "Mappings-by-Gene/g2/mouse.misses").read_text() == "g2: Unmapped: mouse|g2|1\ng2: Unmapped: mouse|g2|2 # short\n"
+
+
+def test_a_guide_with_missing_files_is_an_error(spark, inputs, tmp_path):
+    folder, _ = inputs
+    (tmp_path / "guide").write_text(f"human {folder}/gone.fa -\nhuman {folder}/human.fa {folder}/gone.gtf\n")
+    with pytest.raises(ValueError, match="gone.fa.*gone.gtf.*human: listed twice"):
+        run(spark, str(folder / "p.fa"), str(tmp_path / "guide"), str(tmp_path / "out"))

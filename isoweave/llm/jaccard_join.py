@@ -22,11 +22,12 @@ tokens may lose n - ceil(t n) of them to a partner and still link.
    groups; the larger one is indexed for all sizes that a partner may have.
 3. Rounds of merging.  Within each key, in an order by hash, neighbours of
    different components whose sizes and signatures fit are compared, the
-   likeliest pair of each class only, and linked classes are joined.  This finds
-   no link that step 4 would miss; it spares it the pairs within components.
+   likeliest pair of each class only, and linked classes are joined, while a round
+   finds at least a quarter of the links of the one before.  This finds no link
+   that step 4 would miss; it spares it the pairs within components.
 4. The rest.  Under each key, members outside the key's largest component meet
    all members of other components, in cells of ``CELL`` by ``CELL`` rows, so that
-   no key is one task.  A pair that shares several keys is taken up under the least
+   no key is one task, and only where their sizes are near.  A pair that shares several keys is taken up under the least
    of those that are among the first ``FEW`` of both, or under all if there is none.
    What fits is verified on the whole sets.
 
@@ -41,6 +42,7 @@ what one of them links to the others reach too; extra columns are ignored.
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -58,7 +60,7 @@ FREQUENT, VERY_FREQUENT = 32, 2048
 #: Rows of a key that meet in one task; rounds of merging before the rest; ids that may be broadcast (8 MB).
 CELL, ROUNDS, BROADCAST_IDS = 2048, 4, 1 << 20
 #: First keys of a class that tell under which of them a pair is taken up.
-FEW = 64
+FEW = 16
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 _SIGN = [f"s{k}" for k in range(8)]
 
@@ -258,24 +260,29 @@ def _neighbours(rows: DataFrame, percent: int, turn: int) -> DataFrame:
     return best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _across(rows: DataFrame, percent: int) -> DataFrame:
+def _across(rows: DataFrame, percent: int, work: Workspace) -> DataFrame:
     """(a, b): every fitting pair of classes of different components that share a key, in cells of bounded size."""
+    rows = work.save(rows, "indexed")
     each = rows.groupBy("key", F.col("r.component").alias("component")).agg(F.count("*").alias("m"))
     sums = each.groupBy("key").agg(F.sum("m").alias("m"), F.max(F.struct("m", "component")).alias("top"), F.count("*").alias("k")).filter("k > 1")
     sums = sums.select("key", F.ceil(F.col("m") / CELL).alias("wide"), F.ceil((F.col("m") - F.col("top.m")) / CELL).alias("high"), F.col("top.component").alias("top"))
     known = rows.join(sums, "key")
     few = known.groupBy(F.col("r.sid").alias("sid")).agg(F.slice(F.array_sort(F.collect_list("key")), 1, FEW).alias("few"))  # a set's keys at most
-    known = known.withColumn("sid", F.col("r.sid")).join(few, "sid").drop("sid")
+    known = work.save(known.withColumn("sid", F.col("r.sid")).join(few, "sid").drop("sid"), "across")
+    work.drop("indexed")
     row, col = F.pmod(F.xxhash64("r.sid"), F.col("high")), F.pmod(F.xxhash64("r.sid"), F.col("wide"))
     x = known.filter("r.component <> top").select("key", row.alias("i"), F.explode(F.sequence(F.lit(0), F.col("wide").cast("int") - 1)).alias("j"), F.col("r").alias("x"), F.col("few").alias("fx"), F.col("top").alias("t"))
     y = known.select("key", F.explode(F.sequence(F.lit(0), F.col("high").cast("int") - 1)).alias("i"), col.alias("j"), F.col("r").alias("y"), F.col("few").alias("fy"))
-    x, y = x.withColumn("i", F.col("i").cast("int")), y.withColumn("j", F.col("j").cast("int"))
+    # sizes of a pair are at most one step of the threshold's ratio apart
+    size = lambda r: F.floor(F.log(F.col(f"{r}.n").cast("double")) / (1.0001 * math.log(100 / percent))).cast("int") if percent < 100 else F.col(f"{r}.n")
+    x = x.withColumn("i", F.col("i").cast("int")).withColumn("size", F.explode(F.array(*[size("x") + d for d in (-1, 0, 1)])))
+    y = y.withColumn("j", F.col("j").cast("int")).withColumn("size", size("y"))
     # two members outside the largest component meet twice; they count once
     once = (F.col("y.component") == F.col("t")) | (F.col("x.sid") < F.col("y.sid"))
     # and a pair under the least key that both have among their first ones, if there is any
     here = F.coalesce(F.array_min(F.array_intersect("fx", "fy")), F.col("key")) == F.col("key")
     on = (F.col("x.component") != F.col("y.component")) & once & _fits("x", "y", percent) & here
-    met = x.join(y, ["key", "i", "j"]).filter(on).select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b"))
+    met = x.join(y, ["key", "i", "j", "size"]).filter(on).select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b"))
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -301,7 +308,7 @@ def jaccard_links(docs: DataFrame, *, width: int = 5, percent: int = 80, id_col:
     work = Workspace(docs.sparkSession, "jaccard_links")
     _, least, sets = _classes(docs, width, percent, id_col, text_col, work)
     rows = _with_components(_index(sets, percent, work), sets.select("sid", "n", *_SIGN), None)
-    found = _verified(work.save(_across(rows, percent), "pairs"), sets, percent, work, "links")
+    found = _verified(work.save(_across(rows, percent, work), "pairs"), sets, percent, work, "links")
     named = found.join(least.toDF("a", "x"), "a").join(least.toDF("b", "y"), "b")
     return named.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).filter("a < b").distinct()
 
@@ -313,19 +320,21 @@ def jaccard_components(docs: DataFrame, *, width: int = 5, percent: int = 80, id
     nodes = work.save(sets.select("sid", "n", *_SIGN), "nodes")
     lists = _index(sets, percent, work)
 
-    groups = None
+    groups, before = None, 0
     for turn in range(ROUNDS):
         pairs = work.save(_neighbours(_with_components(lists, nodes, groups), percent, turn), f"pairs-{turn}")
         found = _verified(pairs, sets, percent, work, f"links-{turn}")
         work.drop(f"pairs-{turn}")
-        if found.isEmpty():
+        many = found.count()
+        if 4 * many <= before or not many:  # the rounds are done with what they can merge; step 4 finds these too
             break
+        before = many
         if groups is not None:
             found = found.unionByName(groups.select(F.col("id").alias("a"), F.col("component").alias("b")))
         groups = work.save(components(found, work, f"cc-{turn}"), f"groups-{turn}")
         work.drop(f"links-{turn}", *([f"groups-{turn - 1}"] if turn else []))
-    pairs = work.save(_across(_with_components(lists, nodes, groups), percent), "rest")
-    work.drop("lists", "nodes")
+    pairs = work.save(_across(_with_components(lists, nodes, groups), percent, work), "rest")
+    work.drop("lists", "nodes", "across")
     links = _verified(pairs, sets, percent, work, "links")
     work.drop("sets", "rest")
     if groups is not None:

@@ -573,16 +573,21 @@ def test_class_scores_equal_brute_force(docs):
         assert r.score == pytest.approx(want, rel=1e-9)
 
 
-def test_components(spark):
+@pytest.mark.parametrize("small", [1 << 17, 0])
+def test_components(spark, monkeypatch, small):
+    from isoweave.llm import components as module
     from isoweave.llm.common import Workspace
     from isoweave.llm.components import components
 
+    monkeypatch.setattr(module, "SMALL", small)
     rng = random.Random(8)
     pairs = [(rng.randrange(400), rng.randrange(400)) for _ in range(230)] + [(1000 + i, 1001 + i) for i in range(60)]
     want = groups([p for p in pairs if p[0] != p[1]], {x for p in pairs for x in p})
     got = components(spark.createDataFrame(pairs, "a long, b long"), Workspace(spark, "t"))
     linked = {x for p in pairs if p[0] != p[1] for x in p}
     assert {r.id: r.component for r in got.collect()} == {i: c for i, c in want.items() if i in linked}
+    words = components(spark.createDataFrame([("b", "a"), ("c", "b"), ("x", "y")], "a string, b string"), Workspace(spark, "t"))
+    assert {tuple(r) for r in words.collect()} == {("a", "a"), ("b", "a"), ("c", "a"), ("x", "x"), ("y", "x")}
 
 
 def test_class_lm_classes_come_from_contexts(spark):

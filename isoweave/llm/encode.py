@@ -71,10 +71,11 @@ class ChunkEncoder:
     def _learn(self, chunks: list[str]) -> dict[str, bytes]:
         """The ids of chunks that the cache lacks; it gets them too."""
         found: dict[str, bytes] = {}
-        stems = {c: c[:-1] if c[-1] in ".," and len(c) > 1 and self._is_letter(c[-2]) else c for c in chunks}
+        stems = {c: c[:-1] if c[-1] in ".," and len(c) > 1 and c[-2].isalpha() and (c[-2].isascii() or self._is_letter(c[-2])) else c for c in chunks}
         todo = [s for s in {*stems.values()} if s not in self.cache]
-        letters = {c for c in set().union(*todo) if self._is_letter(c)}
-        plain = [s for s in todo if letters.issuperset(s)]
+        words = [s for s in todo if s.isalpha()]
+        odd = {c for c in set().union(*(s for s in words if not s.isascii())) if not self._is_letter(c)}
+        plain = [s for s in words if odd.isdisjoint(s)] if odd else words
         found.update(zip(plain, self._encode_words(plain), strict=True))
         rest = [*(s for s in todo if s not in found), ".", ","]
         found.update(zip(rest, self._encode_each(rest), strict=True))

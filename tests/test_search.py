@@ -204,3 +204,17 @@ def test_stages_find_what_those_before_leave(spark):
 def test_last_written_map_wins(spark):
     df = spark.createDataFrame([(1, 1, "a"), (1, 3, "b"), (1, 2, "c"), (2, 1, "d")], "seq_id long, phase int, chr string")
     assert {(r.seq_id, r.chr) for r in search.last_written(df, ["seq_id"], "phase").collect()} == {(1, "b"), (2, "d")}
+
+
+def test_only_tiles_that_a_protein_may_have_leave_the_tasks(spark):
+    rng = random.Random(11)
+    genome = "".join(rng.choice("ACGT") for _ in range(20_000))
+    chunks = spark.createDataFrame([("c", k, genome[k * 4096 : (k + 1) * 4096]) for k in range(5)], "chr string, chunk long, seq string")
+    all_tiles = {tuple(r) for r in search.genome_tiles(chunks, 4096).collect()}
+    numbers = sorted(t[0] for t in all_tiles)[::40]
+    protein = "".join("".join(search.AMINO[n >> 5 * k & 31] for k in range(search.TILE)) + "X" for n in numbers)
+    seqs = spark.createDataFrame([(1, protein), (2, None)], "seq_id int, residues string")
+    some = {tuple(r) for r in search.genome_tiles(chunks, 4096, search.tile_filter(seqs)).collect()}
+    assert {t for t in all_tiles if t[0] in set(numbers)} <= some <= all_tiles
+    assert len(some) < len(all_tiles) / 10
+    assert not search.genome_tiles(chunks, 4096, search.tile_filter(seqs.limit(0))).count()

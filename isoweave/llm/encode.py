@@ -3,7 +3,9 @@
 The tokenizer treats white space as a boundary that no token crosses, so a
 text's ids are those of its white-space-separated chunks in order.  Chunks
 repeat, so each Python worker keeps their ids; ``CACHE_CHUNKS`` bounds the
-memory (about 200 bytes a chunk), and a full cache starts anew.
+memory (about 200 bytes a chunk), and a full cache starts anew.  Words of Latin
+letters only, which normalizing changes letter by letter, go to the tokenizer's
+model directly; all other chunks go through the whole tokenizer.
 """
 
 from __future__ import annotations
@@ -22,13 +24,19 @@ _ASCII_SPACE = re.compile(r"[ \t\n\r\x0b\x0c]+")
 _OTHER_SPACE = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
 
 
+#: ASCII symbols that follow a word as one run of their own; not the apostrophe, which may begin one.
+_SYMBOLS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+#: Letters below this code point don't compose with each other.
+_LATIN = 0x250
+
+
 class ChunkEncoder:
     """Ids as little-endian unsigned 32-bit integers; only for tokenizers that drop white space."""
 
     def __init__(self, path: str, cache_chunks: int = CACHE_CHUNKS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import numpy as np
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         vocab = self.tokenizer.get_vocab()
@@ -37,6 +45,10 @@ class ChunkEncoder:
         self.letters: dict[str, bool] = {}
         self.cache: dict[str, bytes] = {}
         self.limit = cache_chunks
+        level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        latin = [c for c in map(chr, range(_LATIN)) if self._is_letter(c)]
+        #: What the model sees of a letter.
+        self.seen = {ord(c): level.pre_tokenize_str(self.tokenizer.normalizer.normalize_str(c))[0][0] for c in latin}
 
     @staticmethod
     def chunks(text: str) -> list[str]:
@@ -68,24 +80,44 @@ class ChunkEncoder:
         raw, cuts = ids.tobytes(), [0, *(4 * ends).tolist()]
         return [raw[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
 
-    def _learn(self, chunks: list[str]) -> dict[str, bytes]:
-        """The ids of chunks that the cache lacks; it gets them too."""
+    def _encode_latin(self, words: list[str]) -> list[bytes]:
+        """Words of the letters in ``seen``, as the model reads them."""
+        import numpy as np
+
+        if not words:
+            return []
+        tokenize, ids, cuts = self.tokenizer.model.tokenize, [], [0]
+        for w in " ".join(words).translate(self.seen).split(" "):
+            ids += [t.id for t in tokenize(w)]
+            cuts.append(4 * len(ids))
+        raw = np.array(ids, "<u4").tobytes()
+        return [raw[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+
+    def _stem(self, chunk: str) -> str:
+        """The chunk without the symbols that follow its last letter; those are a run of their own."""
+        stem = chunk.rstrip(_SYMBOLS)
+        return stem if stem and stem[-1].isalpha() and (stem[-1].isascii() or self._is_letter(stem[-1])) else chunk
+
+    def _learn(self, chunks: list[str]) -> None:
+        """Puts the ids of chunks that the cache lacks into it."""
         found: dict[str, bytes] = {}
-        stems = {c: c[:-1] if c[-1] in ".," and len(c) > 1 and c[-2].isalpha() and (c[-2].isascii() or self._is_letter(c[-2])) else c for c in chunks}
-        todo = [s for s in {*stems.values()} if s not in self.cache]
+        stems = {c: c if c.isalpha() else self._stem(c) for c in chunks}
+        ends = {c[len(s) :] for c, s in stems.items() if len(s) < len(c)}
+        todo = [s for s in {*stems.values(), *ends} if s not in self.cache]
         words = [s for s in todo if s.isalpha()]
-        odd = {c for c in set().union(*(s for s in words if not s.isascii())) if not self._is_letter(c)}
-        plain = [s for s in words if odd.isdisjoint(s)] if odd else words
+        beyond = set().union(*(s for s in words if not s.isascii()))
+        odd = {c for c in beyond if not self._is_letter(c)}
+        wide = {c for c in beyond if ord(c) not in self.seen}
+        latin = [s for s in words if s.isascii() or wide.isdisjoint(s)] if wide else words
+        found.update(zip(latin, self._encode_latin(latin), strict=True))
+        plain = [s for s in words if s not in found and odd.isdisjoint(s)] if wide else []
         found.update(zip(plain, self._encode_words(plain), strict=True))
-        rest = [*(s for s in todo if s not in found), ".", ","]
+        rest = [s for s in todo if s not in found]
         found.update(zip(rest, self._encode_each(rest), strict=True))
-        for c, s in stems.items():
-            if s is not c:
-                found[c] = (found.get(s) or self.cache[s]) + found[c[-1]]
-        if len(self.cache) + len(found) > self.limit:
-            self.cache = {}
         self.cache.update(found)
-        return found
+        for c, s in stems.items():
+            if len(s) < len(c):
+                self.cache[c] = self.cache[s] + self.cache[c[len(s) :]]
 
     def encode(self, texts: Sequence[str | None]) -> list[bytes]:
         """The ids of each text; null counts as empty."""
@@ -101,11 +133,16 @@ class ChunkEncoder:
         return out + self._encode_part(part)
 
     def _encode_part(self, part: list[list[str]]) -> list[bytes]:
-        new = set().union(*part)
-        old = {w: self.cache[w] for w in new if w in self.cache}
-        if len(old) < len(new):
-            old |= self._learn([w for w in new if w not in old])
-        return [b"".join([old[w] for w in words]) for words in part]
+        new: set[str] = set()
+        for words in part:  # a text's own set is small and fast
+            new.update(set(words).difference(self.cache))
+        if new:
+            self._learn([*new])
+        known = self.cache.__getitem__
+        out = [b"".join(map(known, words)) for words in part]
+        if len(self.cache) > self.limit:
+            self.cache = {}
+        return out
 
 
 @functools.cache

@@ -727,3 +727,17 @@ def test_near_vectors_recall(spark, dim):
     worst = sum(k in found for k in range(planted // 4)) / (planted // 4)
     assert worst >= 0.9, worst  # those at 0.931 alone
     assert all(r.vec_id - (n - planted) == r.component_id for r in links if r.vec_id >= n - planted)
+
+
+def test_latin_words_pass_the_whole_tokenizer_by():
+    from isoweave.llm.encode import ChunkEncoder
+
+    enc, whole = ChunkEncoder(word_bpe()), []
+    each, words = enc._encode_each, enc._encode_words
+    enc._encode_each = lambda chunks: whole.extend(chunks) or each(chunks)
+    enc._encode_words = lambda chunks: whole.extend(chunks) or words(chunks)
+    texts = ["Shon*** Öteß, ÉTIONAIÈ. naïve### İstanbul plain ŒUVRE)", "Ab!?cd İ", "don't!! x'! a1b, 日本語. ﬁn, e\u0301té. ª ǅ."]
+    want = [enc.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [np.frombuffer(x, "<u4").tolist() for x in enc.encode(texts[:1])] == want[:1]
+    assert set(whole) <= {"***", ",", ".", "###", ")", "İstanbul"}
+    assert [np.frombuffer(x, "<u4").tolist() for x in enc.encode(texts)] == want

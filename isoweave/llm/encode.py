@@ -49,6 +49,9 @@ class ChunkEncoder:
         latin = [c for c in map(chr, range(_LATIN)) if self._is_letter(c)]
         #: What the model sees of a letter.
         self.seen = {ord(c): level.pre_tokenize_str(self.tokenizer.normalizer.normalize_str(c))[0][0] for c in latin}
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        if self._encode_latin(latin) != self._encode_each(latin):  # another kind of tokenizer
+            self.seen = {}
 
     @staticmethod
     def chunks(text: str) -> list[str]:
@@ -95,7 +98,7 @@ class ChunkEncoder:
 
     def _stem(self, chunk: str) -> str:
         """The chunk without the symbols that follow its last letter; those are a run of their own."""
-        stem = chunk.rstrip(_SYMBOLS)
+        stem = chunk if any(t in chunk for t in self.added) else chunk.rstrip(_SYMBOLS)
         return stem if stem and stem[-1].isalpha() and (stem[-1].isascii() or self._is_letter(stem[-1])) else chunk
 
     def _learn(self, chunks: list[str]) -> None:
@@ -108,9 +111,9 @@ class ChunkEncoder:
         beyond = set().union(*(s for s in words if not s.isascii()))
         odd = {c for c in beyond if not self._is_letter(c)}
         wide = {c for c in beyond if ord(c) not in self.seen}
-        latin = [s for s in words if s.isascii() or wide.isdisjoint(s)] if wide else words
+        latin = [s for s in words if s.isascii() or wide.isdisjoint(s)] if self.seen else []
         found.update(zip(latin, self._encode_latin(latin), strict=True))
-        plain = [s for s in words if s not in found and odd.isdisjoint(s)] if wide else []
+        plain = [s for s in words if s not in found and odd.isdisjoint(s)]
         found.update(zip(plain, self._encode_words(plain), strict=True))
         rest = [s for s in todo if s not in found]
         found.update(zip(rest, self._encode_each(rest), strict=True))

@@ -10,7 +10,8 @@ tokens may lose n - ceil(t n) of them to a partner and still link.
    other's prefix too; so both hold a known number of tokens that another class
    holds there.  Classes with fewer can't link.  Only the rest, the candidates,
    are kept as whole sets, read again from their texts.
-2. The index.  Tokens are counted over the candidates; those of one class drop
+2. The index.  Tokens, of which it keeps 40 bits (two of a set that are equal
+   there count as two), are counted over the candidates; those of one class drop
    out and count as lost.  The others are ordered by count, rarest first, and
    fall into frequency classes: up to ``FREQUENT`` classes a token stands alone
    in the index, above that only combinations of two frequent tokens do, above
@@ -61,6 +62,11 @@ FREQUENT, VERY_FREQUENT = 32, 2048
 CELL, ROUNDS, BROADCAST_IDS = 2048, 4, 1 << 20
 #: First keys of a class that tell under which of them a pair is taken up.
 FEW = 16
+#: Bits of a token in the index, which has its count above them, up to ``MOST``.
+BITS = 40
+SHORT, MOST = (1 << BITS) - 1, (1 << 63 - BITS) - 1
+#: Rows of whole sets that a Python worker holds at once.
+SET_ROWS = 1000
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 _SIGN = [f"s{k}" for k in range(8)]
 
@@ -151,7 +157,7 @@ def _combinations(tokens: np.ndarray, size: np.ndarray, groups: int, losses: int
     """Keys of the extended prefix of ordered tokens that combine by ``size``, for pairs with so many groups."""
     size = size if groups else np.ones_like(size)
     g = max(groups, 1)
-    group = np.where(size == 1, 0, size * g + (tokens >> np.uint64(40)).astype(np.int64) % g)
+    group = np.where(size == 1, 0, size * g + (tokens >> np.uint64(20)).astype(np.int64) % g)
     order = np.argsort(group, kind="stable")
     starts = np.flatnonzero(np.diff(group[order], prepend=-1))
     nth = np.empty(len(tokens), np.int64)  # place of a token in its group
@@ -175,22 +181,22 @@ def _combinations(tokens: np.ndarray, size: np.ndarray, groups: int, losses: int
 
 def _index(sets: DataFrame, percent: int, work: Workspace) -> DataFrame:
     """(key, sid, c): the keys of every candidate's extended prefix that another shares, with their classes."""
-    tokens = sets.select("sid", "n", F.explode("tokens").alias("token"))
+    short = F.col("token").bitwiseAND(F.lit(SHORT))  # tokens that meet in these bits only make a pair likelier to be verified
+    tokens = sets.select("sid", "n", F.explode("tokens").alias("token")).select("sid", "n", short.alias("token"))
     often = work.save(tokens.groupBy("token").agg(F.count("*").alias("c")).filter("c > 1"), "often")
-    core = tokens.join(often, "token").groupBy("sid", "n").agg(F.collect_list(F.struct("c", "token")).alias("core"))  # a set's tokens at most
+    counted = F.shiftleft(F.least("c", F.lit(MOST)), BITS).bitwiseOR(F.col("token"))
+    core = tokens.join(often, "token").groupBy("sid", "n").agg(F.collect_list(counted).alias("core"))  # a set's tokens at most
     rare, very = FREQUENT, VERY_FREQUENT
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             core, sids, keys = batch.column("core"), [], []
             for k, (sid, n) in enumerate(zip(batch.column("sid").to_pylist(), batch.column("n").to_pylist(), strict=True)):
-                own = core[k].values
-                c, t = own.field("c").to_numpy(), own.field("token").to_numpy().view(np.uint64)
                 keep = least_shared(n, percent)
-                if len(t) < keep:
+                own = np.sort(core[k].values.to_numpy())
+                if len(own) < keep:
                     continue
-                order = np.lexsort((t, c))
-                c, t = c[order], t[order]
+                c, t = own >> BITS, (own & SHORT).view(np.uint64)
                 size = 1 + (c > rare).astype(np.int64) + (c > very)
                 for g in _groups_between(keep, n, percent):
                     own_keys = _combinations(t, size, g, len(t) - keep)
@@ -305,7 +311,7 @@ def _classes(docs: DataFrame, width: int, percent: int, id_col: str, text_col: s
 
 def jaccard_links(docs: DataFrame, *, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(a, b), a < b: every pair of classes that link, each named by its least id; copies are not expanded."""
-    work = Workspace(docs.sparkSession, "jaccard_links")
+    work = Workspace(docs.sparkSession, "jaccard_links", SET_ROWS)
     _, least, sets = _classes(docs, width, percent, id_col, text_col, work)
     rows = _with_components(_index(sets, percent, work), sets.select("sid", "n", *_SIGN), None)
     found = _verified(work.save(_across(rows, percent, work), "pairs"), sets, percent, work, "links")
@@ -315,7 +321,7 @@ def jaccard_links(docs: DataFrame, *, width: int = 5, percent: int = 80, id_col:
 
 def jaccard_components(docs: DataFrame, *, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id_col, n_shingles, component_id (the least id reached by links, its own included)."""
-    work = Workspace(docs.sparkSession, "jaccard_join")
+    work = Workspace(docs.sparkSession, "jaccard_join", SET_ROWS)
     slim, least, sets = _classes(docs, width, percent, id_col, text_col, work)
     nodes = work.save(sets.select("sid", "n", *_SIGN), "nodes")
     lists = _index(sets, percent, work)

@@ -741,3 +741,15 @@ def test_latin_words_pass_the_whole_tokenizer_by():
     assert [np.frombuffer(x, "<u4").tolist() for x in enc.encode(texts[:1])] == want[:1]
     assert set(whole) <= {"***", ",", ".", "###", ")", "İstanbul"}
     assert [np.frombuffer(x, "<u4").tolist() for x in enc.encode(texts)] == want
+
+
+def test_a_workspace_bounds_the_rows_of_a_batch(spark):
+    import pyarrow as pa
+
+    from isoweave.llm.common import Workspace
+
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    sizes = spark.range(0, 100, 1, 2).mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in batches), "n long")
+    assert max(r.n for r in Workspace(spark, "batches", 7).save(sizes, "sizes").collect()) == 7
+    assert spark.conf.get(key) == before

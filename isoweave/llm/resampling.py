@@ -12,8 +12,9 @@ Method: two passes over the texts in Arrow batches.  The first counts buckets by
 ``np.bincount`` into one vector a partition, and ``treeReduce`` merges the vectors
 (``BUCKETS`` numbers each, whatever the corpus).  The second gathers the broadcast
 gains of each feature and sums them for each document by ``bincount`` weights.
-The crc32 of a pair is put together from those of its words, which a worker keeps
-(``CACHE_WORDS`` at most), so no pair is ever written out.
+The crc32 of a pair is put together from those of its words, so no pair is ever
+written out.  A worker keeps no words, takes ``BATCH`` texts at a time and works on
+about ``BLOCK`` features at once, so its memory doesn't grow with the vocabulary.
 
 Drawing sorts nothing whole.  Scores are whole numbers within the gains' range
 plus the noise's (about -3200 to 23,000), so their histogram has a bounded number
@@ -33,88 +34,73 @@ from __future__ import annotations
 import functools
 import math
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from isoweave.llm.common import Workspace, need, word_lists
+from isoweave.llm.common import Workspace, arrow_rows, held, need, word_lists
 
 BUCKETS = 10_000
-CACHE_WORDS = 400_000
 #: Bytes of text, and about so many features, that are worked on together.
-PIECE, BLOCK = 1 << 20, 2_000_000
+PIECE, BLOCK = 1 << 18, 100_000
+#: Rows of an Arrow batch.
+BATCH = 500
 _LONGEST = 64
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 
 
 @functools.cache
-def _zeros_after() -> np.ndarray:
-    """[n, k, b]: what byte k of a crc register adds, if its value is b, once n zero bytes have passed through."""
+def _zeros_after() -> tuple[np.ndarray, np.ndarray]:
+    """[k, n, b]: what byte k of a crc register adds, if its value is b, once n zero bytes have passed through; the same of a blank's crc for each n."""
     one = np.array([zlib.crc32(bytes([b])) ^ zlib.crc32(b"\0") for b in range(256)], np.uint32)
-    table = np.zeros((_LONGEST + 2, 4, 256), np.uint32)
+    table = np.zeros((4, _LONGEST + 2, 256), np.uint32)
     for k in range(4):
-        table[0, k] = np.arange(256, dtype=np.uint32) << np.uint32(8 * k)
+        table[k, 0] = np.arange(256, dtype=np.uint32) << np.uint32(8 * k)
     for n in range(1, _LONGEST + 2):
-        table[n] = (table[n - 1] >> np.uint32(8)) ^ one[table[n - 1] & 0xFF]
-    return table
+        table[:, n] = (table[:, n - 1] >> np.uint32(8)) ^ one[table[:, n - 1] & 0xFF]
+    blank = zlib.crc32(b" ")
+    return table, np.bitwise_xor.reduce([table[k, :, blank >> 8 * k & 0xFF] for k in range(4)])
 
 
 class Features:
-    """The buckets of texts' features; keeps the words it has seen."""
-
-    def __init__(self, buckets: int = BUCKETS, cache_words: int = CACHE_WORDS):
-        self.buckets, self.limit = buckets, cache_words
-        self._clear()
-
-    def _clear(self) -> None:
-        self.at: dict[bytes, int] = {}
-        self.crc, self.after, self.size = np.zeros((3, 0), np.uint32)
-
-    def _numbers(self, words: list[bytes]) -> np.ndarray:
-        """A number for each word, under which its checksums stand."""
-        if len(self.at) > self.limit:
-            self._clear()
-        found = list(map(self.at.get, words))
-        if None in found:
-            new = [*dict.fromkeys(w for w, k in zip(words, found, strict=True) if k is None)]
-            self.at.update(zip(new, range(len(self.at), len(self.at) + len(new)), strict=True))
-            self.crc = np.append(self.crc, np.array([zlib.crc32(w) for w in new], np.uint32))
-            self.after = np.append(self.after, np.array([zlib.crc32(b" " + w) for w in new], np.uint32))
-            self.size = np.append(self.size, np.array([len(w) for w in new], np.uint32))
-            found = list(map(self.at.get, words))
-        return np.array(found, np.int64)
+    """The buckets of texts' features, about ``block`` features at a time."""
+
+    def __init__(self, buckets: int = BUCKETS, block: int | None = None):
+        self.buckets, self.block = buckets, block or BLOCK
 
     def of_words(self, words: list[bytes], joined: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The buckets of all words, and of those pairs (a word and the next) that ``joined`` marks."""
-        k = self._numbers(words)
+        crc = np.fromiter(map(zlib.crc32, words), np.uint32, len(words))
         first = np.flatnonzero(joined)
-        a, b = k[first], k[first + 1]
-        start, size = self.crc[a], self.size[b].astype(np.int64) + 1
-        # crc(x + y) = crc(y) xor what the register crc(x) becomes after len(y) zero bytes
-        table, short = _zeros_after(), np.minimum(size, _LONGEST + 1)
-        pair = self.after[b].copy()
+        size = np.fromiter(map(len, words), np.int64, len(words))[first + 1]
+        # crc(x + y) = crc(y) xor what the register crc(x) becomes after len(y) zero bytes: for x a blank, and for x a word before blank and word
+        (table, blank), short, start = _zeros_after(), np.minimum(size, _LONGEST), crc[first]
+        pair = crc[first + 1] ^ blank[short]
+        at = (short + 1) * 256
         for byte in range(4):
-            pair ^= table[short, byte, (start >> np.uint32(8 * byte)) & 0xFF]
-        for i in np.flatnonzero(size > _LONGEST + 1).tolist():
+            pair ^= table[byte].ravel()[at + ((start >> np.uint32(8 * byte)) & np.uint32(0xFF))]
+        for i in np.flatnonzero(size > _LONGEST).tolist():
             pair[i] = zlib.crc32(b" " + words[first[i] + 1], int(start[i]))
-        return self.crc[k] % self.buckets, pair % self.buckets
+        return crc % np.uint32(self.buckets), pair % np.uint32(self.buckets)
 
-    def of_texts(self, texts: list[bytes | None]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    def of_texts(self, texts: Iterable[bytes | None]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """Blocks of (row, bucket) of all features, with the rows of all words; long texts come in several blocks."""
         words: list[bytes] = []
-        rows: list[np.ndarray] = []
+        rows: list[int] = []
+        sizes: list[int] = []
         for row, text in enumerate(texts):
             if len(text or b"") <= PIECE:
                 own = (text or b"").translate(_LOWER).split()
                 words += own
-                rows.append(np.full(len(own), row))
-                if len(words) > BLOCK // 2:
-                    yield self._block(words, np.concatenate(rows))
-                    words, rows = [], []
+                rows.append(row)
+                sizes.append(len(own))
+                if len(words) > self.block // 2:
+                    yield self._block(words, np.repeat(rows, sizes))
+                    words, rows, sizes = [], [], []
                 continue
             last: list[bytes] = []
             for own in word_lists(text, _LOWER, PIECE):
@@ -122,34 +108,30 @@ class Features:
                     yield self._block(last + own, np.full(len(last) + len(own), row), skip_first=bool(last))
                     last = own[-1:]
         if words:
-            yield self._block(words, np.concatenate(rows))
+            yield self._block(words, np.repeat(rows, sizes))
 
     def _block(self, words: list[bytes], rows: np.ndarray, skip_first: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        one, two = self.of_words(words, rows[1:] == rows[:-1])
-        first = rows[:-1][rows[1:] == rows[:-1]]
+        joined = rows[1:] == rows[:-1]
+        one, two = self.of_words(words, joined)
+        first = rows[:-1][joined]
         if skip_first:
             one, rows = one[1:], rows[1:]
         return np.concatenate((rows, first)), np.concatenate((one, two)), rows
 
 
-@functools.cache
-def _features(buckets: int) -> Features:
-    """One a Python worker, kept between its tasks."""
-    return Features(buckets)
-
-
 def bucket_counts(texts: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
     """How often the features of a column of binary texts fall in each bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, found = np.zeros(buckets, np.int64), _features(buckets)
+        total, found = np.zeros(buckets, np.int64), Features(buckets)
         for batch in batches:
-            for _, bucket, _ in found.of_texts(batch.column(0).to_pylist()):
+            for _, bucket, _ in found.of_texts(x.as_py() for x in batch.column(0)):
                 total += np.bincount(bucket, minlength=buckets)
         yield pa.RecordBatch.from_pydict({"counts": pa.array([total.tobytes()], pa.binary())})
 
-    vectors = texts.mapInArrow(run, "counts binary").rdd.map(lambda r: np.frombuffer(r.counts, np.int64))
-    return vectors.treeReduce(np.add) if vectors.getNumPartitions() else np.zeros(buckets, np.int64)
+    with held(texts.sparkSession, arrow_rows(BATCH)):
+        vectors = texts.mapInArrow(run, "counts binary").rdd.map(lambda r: np.frombuffer(r.counts, np.int64))
+        return vectors.treeReduce(np.add) if vectors.getNumPartitions() else np.zeros(buckets, np.int64)
 
 
 def bucket_gains(target: np.ndarray, corpus: np.ndarray) -> np.ndarray:
@@ -163,11 +145,11 @@ def weigh(docs: DataFrame, gains: np.ndarray, *, id_col: str = "doc_id", text_co
     shared = docs.sparkSession.sparkContext.broadcast(gains)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gains, found = shared.value, _features(len(shared.value))
+        gains, found = shared.value, Features(len(shared.value))
         for batch in batches:
             n = batch.num_rows
             words, features, sums = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n)
-            for row, bucket, of_word in found.of_texts(batch.column(1).to_pylist()):
+            for row, bucket, of_word in found.of_texts(x.as_py() for x in batch.column(1)):
                 words += np.bincount(of_word, minlength=n)
                 features += np.bincount(row, minlength=n)
                 sums += np.bincount(row, gains[bucket], n)  # whole numbers, exact in doubles
@@ -182,7 +164,7 @@ def draw(weighed: DataFrame, *, percent: int, least_words: int, seed: int) -> Da
     """Adds score, and the rank of each of the floor(percent * N / 100) drawn ones among the N of ``least_words`` words."""
     h = F.conv(F.substring(F.sha2(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("id").cast("string"), F.lit(""))), 256), 1, 8), 16, 10).cast("long")
     noise = F.floor(F.lit(-1000.0) * F.log(-F.log((h + F.lit(0.5)) / F.lit(4294967296.0))))
-    work = Workspace(weighed.sparkSession, "resampling")
+    work = Workspace(weighed.sparkSession, "resampling", BATCH)
     scored = work.save(weighed.withColumn("score", (F.col("weight") + noise).cast("long")), "scored")
     able = F.col("n_words") >= least_words
     seen = scored.filter(able).groupBy("score").agg(F.count("*").alias("n")).toArrow()  # a row a score: bounded by the gains' range

@@ -5,9 +5,11 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -106,6 +108,38 @@ def test_features_are_checksums_of_words_and_pairs(texts, piece, monkeypatch):
             assert found[k] == collections.Counter(f) and words[k] == len(w)
 
 
+def test_a_worker_holds_a_block_of_features_whatever_the_vocabulary():
+    from isoweave.llm import resampling
+
+    texts = (b" ".join(b"w%d" % k for k in range(n, n + 3000)) for n in range(0, 900_000, 3000))
+    long = b" ".join(b"w%d" % k for k in range(300_000))
+    n_words, n_features, found = 0, 0, resampling.Features()
+    tracemalloc.start()
+    try:
+        for text in (texts, [long]):
+            for row, _, of_word in found.of_texts(text if isinstance(text, list) else list(text)):
+                n_words, n_features = n_words + len(of_word), n_features + len(row)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert n_words == 1_200_000 and n_features == 2 * n_words - 301
+    assert peak < 40e6  # the texts themselves: 7 MB
+
+
+def test_batches_are_small_and_settings_come_back(spark):
+    from isoweave.llm import common, resampling
+
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    df = spark.range(0, 3000, 1, 1)
+    with common.held(spark, common.arrow_rows(resampling.BATCH)):
+        most = df.mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in batches), "n long").agg(F.max("n")).first()[0]
+    assert most <= resampling.BATCH and spark.conf.get(key) == before
+    with pytest.raises(ZeroDivisionError), common.held(spark, {key: "7", "spark.isoweave.none": "1"}):
+        1 / 0  # noqa: B018
+    assert spark.conf.get(key) == before and spark.conf.get("spark.isoweave.none", None) is None
+
+
 @pytest.mark.parametrize(("percent", "least"), [(25, 20), (100, 0), (1, 20), (60, 1)])
 def test_resampling(spark, docs, empty, percent, least):
     from isoweave.llm.resampling import resample

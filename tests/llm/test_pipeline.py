@@ -60,3 +60,30 @@ def test_stages_keep_columns_of_clashing_names(spark, tmp_path):
         assert out.columns == docs.columns
         got = out.collect()
         assert len(got) == len(rows) and all((r.Severity, r.rejected, r.n_lines) == (-1.0, "mine", 7) for r in got)
+
+
+def test_stages_bound_the_rows_of_a_batch(spark, tmp_path):
+    import pyarrow as pa
+
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    n = 2 * cp.BATCH + 500
+    texts = spark.range(0, n, 1, 1).selectExpr("id doc_id", "concat('words of text ', id) text")
+    spark.createDataFrame([(0, 1, 0), (1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(0, "a benchmark item")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    texts.write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    sizes = lambda df: [r.n for r in df.coalesce(1).mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in batches), "n long").collect()]
+    try:
+        for stage in (cp.toxicity, cp.decontamination):
+            spark.conf.set(key, before)
+            got = sizes(stage(spark, docs, str(tmp_path)))
+            assert sum(got) == n and max(got) <= cp.BATCH
+        spark.conf.set(key, "7")
+        cp.decontamination(spark, docs, str(tmp_path))
+        assert spark.conf.get(key) == "7"
+        spark.conf.set(key, before)
+        assert cp.run(spark, str(tmp_path)).count() == n
+        assert spark.conf.get(key) == before
+    finally:
+        spark.conf.set(key, before)
